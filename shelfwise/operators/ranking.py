@@ -13,18 +13,21 @@ def rank_descending(
 ) -> DataFrame:
     """Rank 1 for the highest score; ties share the smallest rank.
 
-    Ranks come from the counts per distinct score: scores are grouped by their whole
-    part, the groups get running totals, and ranks within a group are a window over
-    that group's distinct scores. The rows themselves are never sorted.
+    Ranks come from the counts per distinct score; the rows are never sorted.
     ``distinct_bound`` is a proven limit on distinct scores (two decimals between 0
-    and 100 give 10,001); without it the size is counted before a broadcast.
+    and 100 give 10,001): one running total over that short table, then broadcast.
+    Without it scores are grouped by their whole part, the groups get running totals,
+    a window ranks each group's distinct scores, and the size is counted before a
+    broadcast.
     """
-    counts = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(score)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_whole", F.floor(score))
-    )
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"))
+    if distinct_bound is not None and distinct_bound <= BROADCAST_ROWS:
+        ahead = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+        place = F.coalesce(F.sum("_n").over(ahead), F.lit(0)) + 1
+        ranks = F.broadcast(counts.select(score, place.cast("int").alias(out)))
+        return df.join(ranks, score, "left")
+
+    counts = counts.withColumn("_whole", F.floor(score))
     above = Window.orderBy(F.desc("_whole")).rowsBetween(Window.unboundedPreceding, -1)
     groups = counts.groupBy("_whole").agg(F.sum("_n").alias("_m")).select(
         "_whole", F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_before")
@@ -34,17 +37,9 @@ def rank_descending(
         .orderBy(F.desc(score))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranks = counts.join(groups, "_whole").select(
-        score,
-        (F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1)
-        .cast("int" if distinct_bound else "long")
-        .alias(out),
-    )
-    if distinct_bound is not None and distinct_bound <= BROADCAST_ROWS:
-        ranks = F.broadcast(ranks)
-    else:
-        ranks = lookup_side(ranks)
-    return df.join(ranks, score, "left")
+    place = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1
+    ranks = counts.join(groups, "_whole").select(score, place.cast("long").alias(out))
+    return df.join(lookup_side(ranks), score, "left")
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: str = "uid", ascending: bool = False) -> DataFrame:
