@@ -177,9 +177,11 @@ LEAD = 3
 def _leads(text: Column) -> Column:
     """Distinct pieces of up to LEAD letters at every position, and the empty one."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    pieces = [
-        F.transform(starts, lambda i, w=w: F.substr(text, i, F.lit(w))) for w in range(1, LEAD + 1)
-    ]
+
+    def of_width(width: int) -> Column:
+        return F.transform(starts, lambda at: F.substr(text, at, F.lit(width)))
+
+    pieces = [of_width(w) for w in range(1, LEAD + 1)]
     return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
