@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.components import components
 from shelfwise.operators.quantiles import scalars
-from shelfwise.operators.sizing import lookup_side, materialise
+from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise
 
 # Neighbourhood radius and the rows that make a core, the row itself counted.
 EPS, MIN_ROWS = 0.15, 5
@@ -121,38 +121,77 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _neighbours(grid: Grid, left: DataFrame, right: DataFrame, axes: list[int]) -> DataFrame:
-    """Pairs of cells whose boxes come within eps, with both boxes.
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a cell table whose counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _neighbours(grid: Grid, cells: DataFrame, n_cells: int, axes: list[int]) -> DataFrame:
+    """Pairs ``(a_cell < b_cell, sure)`` whose boxes come within eps; ``sure`` when wholly so.
 
     Cells meet through coarse cells of side eps: these pair on three axes by key and
     are compared on the others. A coarse cell holds a number of fine cells that
-    depends on the dimensions only.
+    depends on the dimensions only. Whole grid steps are compared before the boxes
+    are brought along.
     """
-    def with_coarse(df: DataFrame, prefix: str) -> DataFrame:
-        code = sum(
-            (grid.coarse(F.col("cell"), i) * F.lit(1 << (grid.bits * i)) for i in range(1, grid.dims)),
-            grid.coarse(F.col("cell"), 0),
-        )
-        return _prefixed(df.withColumn("big", code), prefix)
-
-    a, b = with_coarse(left, "a_"), with_coarse(right, "b_")
-    big_a = a.select(F.col("a_big").alias("big")).distinct()
-    big_b = b.select(F.col("b_big").alias("big2")).distinct()
+    code = sum(
+        (grid.coarse(F.col("cell"), i) * F.lit(1 << (grid.bits * i)) for i in range(1, grid.dims)),
+        grid.coarse(F.col("cell"), 0),
+    )
+    placed = cells.select("cell", code.alias("big"))
+    coarse = placed.select("big").distinct()
 
     key_axes, other = axes[:3], axes[3:]
-    wide = big_a
+    wide = coarse
     for i in key_axes:
         steps = [grid.index(F.col("big"), i) + F.lit(step) for step in (-1, 0, 1)]
         wide = wide.withColumn(f"k{i}", F.explode(F.array(*steps)))
-    keyed = big_b
+    keyed = coarse.withColumnRenamed("big", "big2")
     for i in key_axes:
         keyed = keyed.withColumn(f"k{i}", grid.index(F.col("big2"), i))
     near = wide.join(keyed, [f"k{i}" for i in key_axes])
     for i in other:
         near = near.where(F.abs(grid.index(F.col("big"), i) - grid.index(F.col("big2"), i)) <= 1)
+    # Few and short rows that open into many: keep them spread over all cores.
     near = near.select(F.col("big").alias("a_big"), F.col("big2").alias("b_big"))
-    pairs = near.join(a, "a_big").join(b, "b_big")
-    return pairs.where(grid.nearest("a_", "b_") <= grid.limit).drop("a_big", "b_big")
+    near = near.repartition(_width(cells))
+    a = placed.select(F.col("big").alias("a_big"), F.col("cell").alias("a_cell"))
+    b = placed.select(F.col("big").alias("b_big"), F.col("cell").alias("b_cell"))
+    pairs = near.join(_sized(a, n_cells), "a_big").join(_sized(b, n_cells), "b_big")
+    apart = F.lit(0)
+    for i in range(grid.dims):
+        steps = F.abs(grid.index(F.col("a_cell"), i) - grid.index(F.col("b_cell"), i)) - 1
+        apart = apart + F.greatest(steps, F.lit(0)) * F.greatest(steps, F.lit(0))
+    pairs = pairs.where((F.col("a_cell") < F.col("b_cell")) & (apart <= grid.parts**2))
+    return _judged(grid, pairs.select("a_cell", "b_cell"), cells, n_cells)
+
+
+def _judged(grid: Grid, pairs: DataFrame, boxes: DataFrame, n_boxes: int) -> DataFrame:
+    """Pairs kept by their boxes' nearest corners, ``sure`` by their farthest."""
+    boxes = boxes.select("cell", *grid.box_columns())
+    a = _prefixed(boxes, "a_")
+    b = _prefixed(boxes, "b_")
+    both = pairs.join(_sized(a, n_boxes), "a_cell").join(_sized(b, n_boxes), "b_cell")
+    both = both.where(grid.nearest("a_", "b_") <= grid.limit)
+    sure = grid.farthest("a_", "b_") <= grid.limit
+    return both.select("a_cell", "b_cell", sure.alias("sure"))
+
+
+def _width(df: DataFrame) -> int:
+    """Partitions for a table whose rows open into many."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair seen from either end: ``(a_cell, cell, ...)``."""
+    rest = [c for c in pairs.columns if c not in ("a_cell", "b_cell")]
+    ends = F.array(
+        F.struct(F.col("a_cell").alias("f"), F.col("b_cell").alias("t")),
+        F.struct(F.col("b_cell").alias("f"), F.col("a_cell").alias("t")),
+    )
+    seen = pairs.select(F.explode(ends).alias("e"), *rest)
+    return seen.select(F.col("e.f").alias("a_cell"), F.col("e.t").alias("cell"), *rest)
 
 
 def _rows_of(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -169,7 +208,8 @@ def _count_within(
     ``rows`` all rows an answer may count. Counting of a point stops at ``enough``.
     """
     parts = []
-    open_ = asked.join(_prefixed(boxes, "t_").withColumnRenamed("t_cell", "cell"), "cell")
+    asked = asked.repartition(_width(asked))
+    open_ = asked.join(_sized(_prefixed(boxes, "t_").withColumnRenamed("t_cell", "cell"), boxes.count()), "cell")
     keys = ["id", "cell"]
     level = 0
     while True:
@@ -177,10 +217,10 @@ def _count_within(
             {"_in": grid.farthest("q_", "t_") <= grid.limit, "_near": grid.nearest("q_", "t_") <= grid.limit}
         )
         open_ = materialise(open_.where("_near"))
-        inside = open_.where("_in").groupBy(*keys).agg(F.sum("t_n").alias("hits"))
+        inside = materialise(open_.where("_in").groupBy(*keys).agg(F.sum("t_n").alias("hits")))
         parts.append(inside)
         met = inside.groupBy("id").agg(F.sum("hits").alias("h")).where(F.col("h") >= enough).select("id")
-        open_ = open_.where("NOT _in").join(met, "id", "left_anti")
+        open_ = materialise(open_.where("NOT _in").join(met, "id", "left_anti"))
         stats = scalars(open_, work=F.sum("t_n"))
         if not stats["work"]:
             return _summed(parts, keys)
@@ -220,11 +260,13 @@ def _linked(
 
     Only pairs that still join two components are looked at more closely.
     """
-    sure = grid.farthest("a_", "b_") <= grid.limit
-    pairs = materialise(pairs.withColumn("_sure", sure))
-    edges = pairs.where("_sure").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
+    edges = pairs.where("sure").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
     labels = components(nodes, edges)
-    open_ = pairs.where("NOT _sure").select(
+    size = nodes.select("cell", "n")
+    a = size.select(F.col("cell").alias("a_cell"), F.col("n").alias("a_n"))
+    b = size.select(F.col("cell").alias("b_cell"), F.col("n").alias("b_n"))
+    open_ = _across(pairs.where("NOT sure").select("a_cell", "b_cell"), labels)
+    open_ = open_.join(a, "a_cell").join(b, "b_cell").select(
         "a_cell", "b_cell", (F.col("a_n") * F.col("b_n")).alias("work")
     )
     level = 0
@@ -307,26 +349,42 @@ def dbscan(
     spread = scalars(cells, **{f"s{i}": F.stddev_pop(grid.index(F.col("cell"), i)) for i in range(grid.dims)})
     axes = sorted(range(grid.dims), key=lambda i: -(spread[f"s{i}"] or 0.0))
 
+    n_cells = cells.count()
+
     dense = cells.where(F.col("n") >= min_rows)
     sparse = cells.where(F.col("n") < min_rows)
-    loose = materialise(_rows_of(rows, sparse))
-
-    # Core status of rows in sparse cells: their own cell counts in full.
-    around = materialise(_neighbours(grid, sparse, cells, axes))
-    asking = _prefixed(grid.points(loose), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
-    asked = around.where("a_cell <> b_cell").select("a_cell", F.col("b_cell").alias("cell"))
-    own = loose.join(sparse.select("cell", "n"), "cell").select("id", "n")
-    need = asking.join(asked, "a_cell").select("id", "cell", *grid.box_columns("q_"))
-    hits = _count_within(grid, need, cells, rows, min_rows - 1, open_limit)
+    pairs = materialise(_neighbours(grid, cells, n_cells, axes))
+
+    # A sparse cell is core as a whole when cells wholly within eps bring enough rows.
+    weight = cells.select("cell", "n")
+    certain = _both_ways(pairs.where("sure")).join(_sized(weight, n_cells), "cell")
+    certain = certain.groupBy(F.col("a_cell").alias("cell")).agg(F.sum("n").alias("more"))
+    weighed = sparse.select("cell", "n").join(certain, "cell", "left").select(
+        "cell", (F.col("n") + F.coalesce("more", F.lit(0))).alias("sum")
+    )
+    weighed = materialise(weighed)
+    loose = materialise(_rows_of(rows, sparse).join(weighed, "cell"))
+
+    # The other rows of sparse cells ask the cells that are only partly within eps.
+    unsure = loose.where(F.col("sum") < min_rows)
+    points = _prefixed(grid.points(unsure), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
+    doubtful = _both_ways(pairs.where("NOT sure").select("a_cell", "b_cell"))
+    asked = points.join(doubtful, "a_cell").select("id", "cell", *grid.box_columns("q_"))
+    hits = _count_within(grid, asked, cells, rows, min_rows, open_limit)
     hits = hits.groupBy("id").agg(F.sum("hits").alias("h"))
-    total = F.col("n") + F.coalesce("h", F.lit(0))
-    judged = own.join(hits, "id", "left").select("id", (total >= min_rows).alias("core"))
-    loose = materialise(loose.join(judged, "id"))
+    core = F.col("sum") + F.coalesce("h", F.lit(0)) >= min_rows
+    loose = materialise(loose.join(hits, "id", "left").withColumn("core", core).drop("sum", "h"))
 
     core_loose = loose.where("core")
     core_cells = materialise(dense.unionByName(grid.boxes(core_loose, "cell")))
-    core_rows = _rows_of(rows, dense).unionByName(core_loose.drop("core"))
-    linked = _neighbours(grid, core_cells, core_cells, axes).where("a_cell < b_cell")
+    n_core = core_cells.count()
+    core_rows = _rows_of(rows, dense).unionByName(core_loose.select("id", "cell", *grid.features))
+    # Fewer rows can only tighten a box: sure pairs stay sure, the rest are judged again.
+    kept = _judged(grid, pairs.where("NOT sure").select("a_cell", "b_cell"), core_cells, n_core)
+    firm = pairs.where("sure")
+    for end in ("a_cell", "b_cell"):
+        firm = firm.join(_sized(core_cells.select(F.col("cell").alias(end)), n_core), end, "left_semi")
+    linked = materialise(kept.unionByName(firm.select("a_cell", "b_cell", "sure")))
     labels = _linked(grid, linked, core_cells, core_rows, open_limit)
     order = Window.orderBy("label")
     numbers = labels.select("label").distinct().select(
@@ -334,13 +392,16 @@ def dbscan(
     )
     numbered = materialise(labels.join(numbers, "label").select("cell", "number"))
 
-    # Border rows: not core, within eps of a core row.
-    rest = loose.where("NOT core")
-    edge = _prefixed(grid.points(rest.drop("core")), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
-    near = around.select("a_cell", F.col("b_cell").alias("cell")).join(numbered.select("cell"), "cell", "left_semi")
-    touch = edge.join(near, "a_cell").select("id", "cell", *grid.box_columns("q_"))
+    # Border rows: not core, within eps of a core row; their own cell's core rows are.
+    rest = loose.where("NOT core").drop("core")
+    edge = _prefixed(grid.points(rest), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
+    reach = _both_ways(pairs.select("a_cell", "b_cell"))
+    touch = edge.join(reach, "a_cell").join(numbered.select("cell"), "cell", "left_semi")
+    touch = touch.select("id", "cell", *grid.box_columns("q_"))
     touched = _count_within(grid, touch, core_cells, core_rows, 1 << 62, open_limit)
-    border = touched.join(numbered, "cell").groupBy("id").agg(F.min("number").alias("number"))
+    inside = rest.join(numbered, "cell").select("id", "number")
+    border = touched.join(numbered, "cell").select("id", "number").unionByName(inside)
+    border = border.groupBy("id").agg(F.min("number").alias("number"))
 
     loose_labels = (
         core_loose.join(numbered, "cell").select("cell", "id", "number")

@@ -6,7 +6,7 @@ page per line, so that reading them back exercises the same readers as real capt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import CARD, SHOP_PAGE, STORE_PRODUCT
@@ -14,7 +14,10 @@ from shelfwise.sources.landing import landed_path, path_exists
 from shelfwise.sources.offers import products
 
 PAGE_SPAN = 250
-PART = F.col("product_id").cast("long")
+
+
+def part_number() -> Column:
+    return F.col("product_id").cast("long")
 
 
 def read_shop_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -33,12 +36,13 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
 
 def shop_payload(catalogue: DataFrame) -> DataFrame:
     """Shop pages of at most 250 products as JSON text."""
-    cents = F.format_string("%d.%02d", (PART % 500 + 1), PART % 100)
+    part = part_number()
+    cents = F.format_string("%d.%02d", (part % 500 + 1), part % 100)
     compare = (
-        F.when(PART % 5 == 0, F.lit(None).cast("string"))
-        .when(PART % 5 == 1, F.lit(""))
-        .when(PART % 5 == 2, F.format_string("%d.00", PART % 400 + 1))
-        .otherwise(F.format_string("%d.50", PART % 500 + 40))
+        F.when(part % 5 == 0, F.lit(None).cast("string"))
+        .when(part % 5 == 1, F.lit(""))
+        .when(part % 5 == 2, F.format_string("%d.00", part % 400 + 1))
+        .otherwise(F.format_string("%d.50", part % 500 + 40))
     )
     variant = F.struct(
         cents.alias("price"),
@@ -47,7 +51,7 @@ def shop_payload(catalogue: DataFrame) -> DataFrame:
         F.col("stock").alias("inventory_quantity"),
     )
     product = F.struct(
-        PART.alias("id"),
+        part.alias("id"),
         F.concat(F.lit("  "), F.col("nom"), F.lit(" ")).alias("title"),
         F.concat(
             F.lit("<p>"), F.col("nom"), F.lit("</p><ul><li>"), F.col("marque"),
@@ -55,8 +59,8 @@ def shop_payload(catalogue: DataFrame) -> DataFrame:
         ).alias("body_html"),
         F.col("categorie").alias("product_type"),
         F.col("marque").alias("vendor"),
-        F.when(PART % 11 != 0, F.array("marque", F.lit("promo"))).alias("tags"),
-        F.when(PART % 13 == 0, F.array().cast("array<struct<price:string,compare_at_price:string,available:boolean,inventory_quantity:bigint>>"))
+        F.when(part % 11 != 0, F.array("marque", F.lit("promo"))).alias("tags"),
+        F.when(part % 13 == 0, F.array().cast("array<struct<price:string,compare_at_price:string,available:boolean,inventory_quantity:bigint>>"))
         .otherwise(F.array(variant, variant))
         .alias("variants"),
         F.transform(
@@ -68,7 +72,7 @@ def shop_payload(catalogue: DataFrame) -> DataFrame:
     )
     pages = (
         catalogue.where(F.col("source") == "shopify")
-        .groupBy("shop_url", F.floor(PART / PAGE_SPAN).alias("page"))
+        .groupBy("shop_url", F.floor(part / PAGE_SPAN).alias("page"))
         .agg(F.collect_list(product).alias("products"))
     )
     return pages.select("shop_url", F.to_json(F.struct("products")).alias("value"))
@@ -76,36 +80,37 @@ def shop_payload(catalogue: DataFrame) -> DataFrame:
 
 def store_payload(catalogue: DataFrame) -> DataFrame:
     """Store pages: JSON arrays of at most 250 products."""
-    regular = F.format_string("%d.00", PART % 300 + 20)
+    part = part_number()
+    regular = F.format_string("%d.00", part % 300 + 20)
     sale = (
-        F.when(PART % 4 == 0, F.lit(""))
-        .when(PART % 4 == 1, F.format_string("%d.00", PART % 300 + 30))
-        .otherwise(F.format_string("%d.25", PART % 300 + 5))
+        F.when(part % 4 == 0, F.lit(""))
+        .when(part % 4 == 1, F.format_string("%d.00", part % 300 + 30))
+        .otherwise(F.format_string("%d.25", part % 300 + 5))
     )
     product = F.struct(
-        PART.alias("id"),
+        part.alias("id"),
         F.concat(F.col("nom"), F.lit(" ")).alias("name"),
         F.concat(F.lit("<div><b>"), F.col("nom"), F.lit("</b></div>")).alias("description"),
         F.col("marque").alias("short_description"),
-        F.when(PART % 4 < 2, regular).otherwise(sale).alias("price"),
+        F.when(part % 4 < 2, regular).otherwise(sale).alias("price"),
         regular.alias("regular_price"),
         sale.alias("sale_price"),
-        F.format_string("%d.%d", PART % 4 + 1, PART % 10).alias("average_rating"),
-        F.when(PART % 9 != 0, F.col("nb_reviews")).alias("rating_count"),
+        F.format_string("%d.%d", part % 4 + 1, part % 10).alias("average_rating"),
+        F.when(part % 9 != 0, F.col("nb_reviews")).alias("rating_count"),
         F.col("disponible").alias("in_stock"),
-        F.when(PART % 8 != 0, F.col("stock")).alias("stock_quantity"),
-        (PART % 1000).alias("total_sales"),
-        F.format_string("%d.5", PART % 7).alias("weight"),
+        F.when(part % 8 != 0, F.col("stock")).alias("stock_quantity"),
+        (part % 1000).alias("total_sales"),
+        F.format_string("%d.5", part % 7).alias("weight"),
         F.col("date_creation").alias("date_created"),
         F.array(F.struct(F.lit("i").alias("src"))).alias("images"),
         F.array(
             F.struct(F.col("categorie").alias("name")), F.struct(F.col("marque").alias("name"))
         ).alias("categories"),
-        F.when(PART % 6 != 0, F.array(F.struct(F.lit("promo").alias("name")))).alias("tags"),
+        F.when(part % 6 != 0, F.array(F.struct(F.lit("promo").alias("name")))).alias("tags"),
     )
     pages = (
         catalogue.where(F.col("source") == "woocommerce")
-        .groupBy("shop_url", F.floor(PART / PAGE_SPAN).alias("page"))
+        .groupBy("shop_url", F.floor(part / PAGE_SPAN).alias("page"))
         .agg(F.collect_list(product).alias("products"))
     )
     return pages.select("shop_url", F.to_json("products").alias("value"))
@@ -118,29 +123,30 @@ PATHS = ("women/shoes", "running", "kids-bags", "new", "gym/shirt")
 
 def card_payload(catalogue: DataFrame) -> DataFrame:
     """Cards as read off rendered pages, with short names and repeated names."""
-    kind = PART % 5
+    part = part_number()
+    kind = part % 5
     price = (
-        F.when(kind == 0, F.format_string(PRICE_TEXTS[0], PART % 300, PART % 100))
-        .when(kind == 1, F.format_string(PRICE_TEXTS[1], PART % 200, PART % 100))
-        .when(kind == 2, F.format_string(PRICE_TEXTS[2], PART % 1000))
+        F.when(kind == 0, F.format_string(PRICE_TEXTS[0], part % 300, part % 100))
+        .when(kind == 1, F.format_string(PRICE_TEXTS[1], part % 200, part % 100))
+        .when(kind == 2, F.format_string(PRICE_TEXTS[2], part % 1000))
         .when(kind == 3, F.lit(PRICE_TEXTS[3]))
-        .otherwise(F.format_string(PRICE_TEXTS[4], PART % 90))
+        .otherwise(F.format_string(PRICE_TEXTS[4], part % 90))
     )
-    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (PART % 5 + 1).cast("int"))
+    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (part % 5 + 1).cast("int"))
     shop = F.lower(F.regexp_replace("shop_url", "[^A-Za-z0-9]", ""))
     return catalogue.where(F.col("source") == "playwright").select(
         F.concat(F.lit("https://www."), shop, F.lit(".example/"), path).alias("url"),
-        PART.alias("position"),
-        F.when(PART % 37 == 0, F.lit("ab")).otherwise(F.concat("nom", F.lit(" "), "marque")).alias("nom"),
+        part.alias("position"),
+        F.when(part % 37 == 0, F.lit("ab")).otherwise(F.concat("nom", F.lit(" "), "marque")).alias("nom"),
         price.alias("prix_raw"),
-        F.when(PART % 3 != 0, F.lit("img.jpg")).otherwise("").alias("image"),
+        F.when(part % 3 != 0, F.lit("img.jpg")).otherwise("").alias("image"),
         F.concat(F.lit("/p/"), "product_id").alias("url_produit"),
     )
 
 
 def dirty_catalogue(catalogue: DataFrame) -> DataFrame:
     """Text-only catalogue with bad numbers, nulls, odd spacing and repeated keys."""
-    part = PART
+    part = part_number()
     rows = catalogue.select(
         "source", "shop_url", "product_id", "description", "date_creation",
         F.when(part % 37 == 0, F.lit(None).cast("string"))
