@@ -16,11 +16,11 @@ def add(name: str, tables: str, select: str) -> None:
 # ---- sources and sinks
 
 add("s0_products", PRODUCTS, """
-SELECT shop_url, product_id, uid, nom, description, categorie, marque, tags, round(prix, 6) AS prix,
-  round(remise_pct, 6) AS remise_pct, round(rating, 6) AS rating, nb_reviews, disponible, stock, nb_images,
+SELECT shop_url, product_id, uid, nom, description, categorie, marque, tags, prix,
+  remise_pct, rating, nb_reviews, disponible, stock, nb_images,
   nb_variants, source FROM products""")
 add("s1_csv_read", PRODUCTS, """
-SELECT uid, nom, nom || ' ' || chr(10) || ' "' || marque || '", x' AS description, round(prix, 6) AS prix,
+SELECT uid, nom, nom || ' ' || chr(10) || ' "' || marque || '", x' AS description, prix,
   disponible, stock FROM products""")
 add("s2_shop_pages", PRODUCTS, """
 SELECT shop_url, pk AS id, '  ' || nom || ' ' AS title, categorie AS product_type, marque AS vendor
@@ -32,7 +32,7 @@ add("s4_cards", CARDS, "SELECT url, position, nom, prix_raw, image FROM card")
 add("s5_audit_read", AUDIT, """
 SELECT timestamp, server_id, tool_name, status, duration_ms, error FROM entries""")
 add("s6_audit_append", AUDIT, """
-SELECT timestamp, server_id, tool_name, action, status, duration_ms, replace(details, ' ', '') AS details, error
+SELECT timestamp, server_id, tool_name, action, status, duration_ms, details, error
 FROM entries""")
 add("s7_csv_sink", SCORED, "SELECT uid, nom, rang, score_composite FROM enriched")
 add("s8_saved_table", PRODUCTS, "SELECT uid, nom, stock, disponible FROM products")
@@ -143,7 +143,16 @@ imp AS (
     coalesce(ratio_qualite_prix, mq) AS ratio_qualite_prix, coalesce(score_popularite, mo) AS score_popularite
   FROM hd, med)"""
 _NUM = ("prix", "rating", "nb_reviews", "stock", "remise_pct", "ratio_qualite_prix", "score_popularite")
-add("f6_imputed", _HOLED, "SELECT uid, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM) + " FROM imp")
+_EXACT = ("prix", "remise_pct", "rating", "nb_reviews", "stock")
+
+
+def _shown(columns: tuple) -> str:
+    return ", ".join(
+        f"CAST({c} AS DOUBLE) AS {c}" if c in _EXACT else f"round({c}, 6) AS {c}" for c in columns
+    )
+
+
+add("f6_imputed", _HOLED, f"SELECT uid, {_shown(_NUM)} FROM imp")
 
 
 def _scaled(table: str, columns: tuple) -> str:
@@ -159,7 +168,7 @@ _CODES = (
 )
 add("f8_container_features", FEATURES, f"SELECT uid, {_CODES}, {_scaled('derived', _NUM[:-1])} FROM derived")
 add("f9_features", FEATURES, f"""
-SELECT uid, en_promo, segment_prix, {_CODES}, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _NUM)},
+SELECT uid, en_promo, segment_prix, {_CODES}, {_shown(_NUM)},
   {_scaled('derived', _NUM)} FROM derived""")
 add("f10_coercion", DIRTY, """
 SELECT shop_url, product_id, seq, coalesce(TRY_CAST(prix AS DOUBLE), 0) AS prix,
@@ -182,9 +191,9 @@ SELECT uid, rank() OVER (ORDER BY score_composite DESC) AS rang,
 FROM fall""")
 add("f13_score_bands", _FALL, "SELECT segment, count(*) AS n FROM banded GROUP BY segment")
 add("f14_fallback_columns", _FALL, """
-SELECT uid, segment, round(round(CASE WHEN prix > 0 THEN rating / ln(1 + prix) ELSE 0 END, 4), 3) AS ratio_qualite_prix,
-  CASE WHEN remise_pct > 0 THEN 1 ELSE 0 END AS en_promo, round(round((prix - lo) / (hi - lo + 1e-9), 4), 3) AS prix_norm,
-  round(round((remise_pct - dl) / (dh - dl + 1e-9), 4), 3) AS remise_pct_norm FROM banded""")
+SELECT uid, segment, round(CASE WHEN prix > 0 THEN rating / ln(1 + prix) ELSE 0 END, 4) AS ratio_qualite_prix,
+  CASE WHEN remise_pct > 0 THEN 1 ELSE 0 END AS en_promo, round((prix - lo) / (hi - lo + 1e-9), 4) AS prix_norm,
+  round((remise_pct - dl) / (dh - dl + 1e-9), 4) AS remise_pct_norm FROM banded""")
 
 # ---- clusters
 
@@ -214,7 +223,7 @@ add("l4_class_balance", SCORED, """
 SELECT top_produit, count(*) AS n, round(count(*) / (SELECT count(*) FROM enriched) * 100, 4) AS pct
 FROM enriched GROUP BY top_produit""")
 add("l5_matrix", FEATURES, f"""
-SELECT uid, round(prix, 6) AS prix, round(remise_pct, 6) AS remise_pct,
+SELECT uid, prix, remise_pct,
   CASE WHEN pk % 5 <> 0 THEN stock ELSE 0 END::DOUBLE AS stock, 0.0::DOUBLE AS nb_images,
   nb_variants::DOUBLE AS nb_variants, en_promo::DOUBLE AS en_promo,
   (dense_rank() OVER (ORDER BY categorie) - 1)::DOUBLE AS categorie_enc,
@@ -338,8 +347,8 @@ add("t2_composite_score", SCORED, "SELECT uid, score_composite, rang FROM enrich
 add("t3_rank_any", PRODUCTS, "SELECT uid, rank() OVER (ORDER BY prix DESC) AS rang FROM products")
 add("t4_score_summary", SCORED, """
 SELECT round(avg(score_composite), 6) AS moyenne, max(score_composite) AS maximum FROM enriched""")
-_SHOWN = """SELECT rang, nom, categorie, source, round(prix, 6) AS prix, round(rating, 6) AS rating, nb_reviews,
-  round(remise_pct, 6) AS remise_pct, disponible, score_composite, segment FROM enriched"""
+_SHOWN = """SELECT rang, nom, categorie, source, prix, rating, nb_reviews,
+  remise_pct, disponible, score_composite, segment FROM enriched"""
 _BEST = "ORDER BY score_composite DESC, uid"
 add("t5_top_k", SCORED, f"{_SHOWN} {_BEST} LIMIT 20")
 add("t5_top_k_filtered", SCORED,
@@ -369,7 +378,7 @@ SELECT count(*) AS nb_products, 'categorie,date_creation,description,disponible,
 # ---- dashboard
 
 add("d1_filters", SCORED, """
-SELECT uid, round(prix, 6) AS prix, round(remise_pct, 6) AS remise_pct FROM enriched
+SELECT uid, prix, remise_pct FROM enriched
 WHERE source = 'shopify' AND categorie = 'standard gizmo' AND prix BETWEEN 20 AND 500 AND remise_pct > 0""")
 add("d1_filters_top_available", SCORED, """
 SELECT source, count(*) AS n FROM enriched WHERE top_produit = 1 AND disponible GROUP BY source""")
@@ -377,7 +386,7 @@ add("d2_filter_options", PRODUCTS, """
 SELECT DISTINCT 'source' AS kind, source AS value FROM products
 UNION SELECT DISTINCT 'categorie', categorie FROM products""")
 add("d2_price_range", PRODUCTS, """
-SELECT round(min(prix), 6) AS prix_min, round(max(prix), 6) AS prix_max FROM products""")
+SELECT min(prix) AS prix_min, max(prix) AS prix_max FROM products""")
 add("d3_side_stats", SCORED, """
 SELECT count(*) AS produits, count(DISTINCT categorie) AS categories, CAST(sum(top_produit) AS BIGINT) AS top_ml FROM enriched""")
 add("d4_kpis", SCORED, """
@@ -387,9 +396,9 @@ SELECT count(*) AS produits, count(DISTINCT source) AS sources, count(DISTINCT c
   round(avg(score_composite), 4) AS score_moyen, round(avg(prix), 4) AS prix_moyen, round(median(prix), 4) AS prix_median
 FROM enriched""")
 add("d5_top_bars", SCORED, f"""
-SELECT uid, left(nom, 42) AS nom_court, categorie, round(prix, 6) AS prix, score_composite FROM enriched {_BEST} LIMIT 15""")
+SELECT uid, left(nom, 42) AS nom_court, categorie, prix, score_composite FROM enriched {_BEST} LIMIT 15""")
 add("d5_top_bars_short", SCORED, f"""
-SELECT uid, left(nom, 7) || '…' AS nom_court, categorie, round(prix, 6) AS prix, score_composite FROM enriched {_BEST} LIMIT 20""")
+SELECT uid, left(nom, 7) || '…' AS nom_court, categorie, prix, score_composite FROM enriched {_BEST} LIMIT 20""")
 add("d6_segment_shares", SCORED, """
 SELECT segment, count(*) AS n, round(count(*) / (SELECT count(*) FROM enriched) * 100, 4) AS pct FROM enriched GROUP BY segment""")
 add("d7_availability", PRODUCTS, """
@@ -412,7 +421,7 @@ add("d9_score_histogram", SCORED, _histogram("enriched", "score_composite"))
 add("d10_price_histogram", PRODUCTS + ", c AS (SELECT quantile_cont(prix, 0.95) AS top FROM products)",
     _histogram("products, c", "least(prix, top)"))
 add("d11_ranked_products", SCORED, """
-SELECT uid, round(remise_pct, 6) AS remise_pct FROM enriched WHERE categorie = 'small ring'
+SELECT uid, remise_pct FROM enriched WHERE categorie = 'small ring'
 ORDER BY enriched.remise_pct DESC, uid LIMIT 25""")
 add("d12_formatted", SCORED, """
 SELECT rang AS "#", nom AS "Produit", categorie AS "Catégorie", source AS "Source", '€' || format('{:.2f}', prix) AS "Prix",
@@ -425,8 +434,8 @@ add("d14_sample", SCORED, "SELECT uid, segment FROM enriched ORDER BY md5(uid ||
 add("d15_scatter", PRODUCTS, """
 SELECT source, count(*) AS n FROM products WHERE pk % 17 <> 0 AND pk % 23 <> 0 AND prix > 0 GROUP BY source""")
 add("d16_price_stats", PRODUCTS, """
-SELECT round(min(prix), 6) AS minimum, round(avg(prix), 4) AS moyenne, round(max(prix), 6) AS maximum,
-  round(median(prix), 6) AS mediane FROM products""")
+SELECT min(prix) AS minimum, round(avg(prix), 4) AS moyenne, max(prix) AS maximum,
+  median(prix) AS mediane FROM products""")
 add("d17_discount_spread", PRODUCTS + """,
 promo AS (SELECT * FROM products WHERE remise_pct > 0),
 big AS (SELECT categorie FROM promo GROUP BY 1 ORDER BY count(*) DESC, categorie LIMIT 7)""", """
@@ -438,8 +447,8 @@ SELECT uid, nom, categorie, '€' || format('{:.2f}', prix) AS prix, format('{:.
   format('{:.1f}', remise_pct) || '%' AS remise_pct, format('{:.4f}', ratio_qualite_prix) AS ratio_qualite_prix
 FROM enriched ORDER BY enriched.ratio_qualite_prix DESC, uid LIMIT 10""")
 add("d19_search", SCORED, """
-SELECT nom, categorie, source, round(prix, 6) AS prix, round(remise_pct, 6) AS remise_pct, score_composite,
-  round(rating, 6) AS rating, disponible, rang FROM enriched WHERE regexp_matches(nom, '(?i)^(RED|blue) .*g')""")
+SELECT nom, categorie, source, prix, remise_pct, score_composite,
+  rating, disponible, rang FROM enriched WHERE regexp_matches(nom, '(?i)^(RED|blue) .*g')""")
 add("d20_last_entries", AUDIT, """
 SELECT event_id, server_id, tool_name, status, left(action, 55) AS action, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS quand
 FROM log ORDER BY timestamp DESC, event_id DESC LIMIT 15""")

@@ -99,7 +99,7 @@ shop0 AS (
 shop AS (
   SELECT * REPLACE (CASE WHEN bare THEN 0 ELSE p0 END AS prix, NOT bare AND disponible AS disponible,
       CASE WHEN bare THEN 0 ELSE stock END AS stock, nb_images + 1 AS nb_images,
-      CASE WHEN bare THEN 0 ELSE 2 END AS nb_variants, nom || ' ' || marque || ' & é' AS description,
+      CASE WHEN bare THEN 0 ELSE 2 END AS nb_variants, nom || ' ' || marque || '  & é' AS description,
       CASE WHEN pk % 11 = 0 THEN '' ELSE marque || ', promo' END AS tags),
     CASE WHEN bare THEN 0 ELSE c0 END AS prix_compare
   FROM shop0)"""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.components import components
 from shelfwise.operators.quantiles import scalars
-from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise
+from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise, width
 
 # Neighbourhood radius and the rows that make a core, the row itself counted.
 EPS, MIN_ROWS = 0.15, 5
@@ -154,7 +154,7 @@ def _neighbours(grid: Grid, cells: DataFrame, n_cells: int, axes: list[int]) ->
         near = near.where(F.abs(grid.index(F.col("big"), i) - grid.index(F.col("big2"), i)) <= 1)
     # Few and short rows that open into many: keep them spread over all cores.
     near = near.select(F.col("big").alias("a_big"), F.col("big2").alias("b_big"))
-    near = near.repartition(_width(cells))
+    near = near.repartition(width(cells))
     a = placed.select(F.col("big").alias("a_big"), F.col("cell").alias("a_cell"))
     b = placed.select(F.col("big").alias("b_big"), F.col("cell").alias("b_cell"))
     pairs = near.join(_sized(a, n_cells), "a_big").join(_sized(b, n_cells), "b_big")
@@ -177,12 +177,6 @@ def _judged(grid: Grid, pairs: DataFrame, boxes: DataFrame, n_boxes: int) -> Dat
     return both.select("a_cell", "b_cell", sure.alias("sure"))
 
 
-def _width(df: DataFrame) -> int:
-    """Partitions for a table whose rows open into many."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """Each pair seen from either end: ``(a_cell, cell, ...)``."""
     rest = [c for c in pairs.columns if c not in ("a_cell", "b_cell")]
@@ -208,7 +202,7 @@ def _count_within(
     ``rows`` all rows an answer may count. Counting of a point stops at ``enough``.
     """
     parts = []
-    asked = asked.repartition(_width(asked))
+    asked = asked.repartition(width(asked))
     open_ = asked.join(_sized(_prefixed(boxes, "t_").withColumnRenamed("t_cell", "cell"), boxes.count()), "cell")
     keys = ["id", "cell"]
     level = 0

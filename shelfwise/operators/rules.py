@@ -117,25 +117,17 @@ def pair_counts(pairs: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
         ]
     )
     size = sum((F.bit_count(m) for m in masks[1:]), F.bit_count(masks[0]))
-    shapes = per_basket.where(size >= 2).groupBy(*masks).agg(F.count("*").alias("n"))
-
-    def holds(code: int) -> Column:
-        return F.getbit(F.col(masks[code // MASK_BITS]), F.lit(code % MASK_BITS)).cast("long")
+    shapes = materialise(per_basket.where(size >= 2).groupBy(*masks).agg(F.count("*").alias("n")))
 
+    # Long lists of like expressions, as SQL text.
+    codes = range(max_items)
+    holds = [f"getbit({masks[c // MASK_BITS]}, {c % MASK_BITS})" for c in codes]
     # One row per item of a shape (its size, not its square), summed against 50 columns.
-    present = F.array_compact(
-        F.array(*[F.when(holds(c) == 1, F.lit(c)) for c in range(max_items)])
-    )
-    opened = shapes.select("n", *masks, F.explode(present).alias("a"))
-    table = opened.groupBy("a").agg(
-        *[F.sum(holds(c) * F.col("n")).alias(f"c{c}") for c in range(max_items)]
-    )
-    cells = F.explode(
-        F.array(
-            *[F.struct(F.lit(c).alias("b"), F.col(f"c{c}").alias("n")) for c in range(max_items)]
-        )
-    )
-    long = table.select("a", cells.alias("x")).select("a", "x.b", "x.n").where("n > 0 AND a <= b")
+    present = ", ".join(f"if({holds[c]} = 1, {c}, null)" for c in codes)
+    opened = shapes.select("n", *masks, F.expr(f"explode(array_compact(array({present})))").alias("a"))
+    table = opened.groupBy("a").agg(*[F.expr(f"sum({holds[c]} * n) AS c{c}") for c in codes])
+    cells = ", ".join(f"struct({c} AS b, c{c} AS n)" for c in codes)
+    long = table.select("a", F.expr(f"inline(array({cells}))")).where("n > 0 AND a <= b")
     names = words.select(F.col("code").alias("a"), F.col("item").alias("item_a"))
     others = words.select(F.col("code").alias("b"), F.col("item").alias("item_b"))
     total = scalars(shapes, n=F.coalesce(F.sum("n"), F.lit(0)))["n"]

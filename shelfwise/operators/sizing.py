@@ -24,3 +24,16 @@ def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     stored = materialise(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def width(df: DataFrame) -> int:
+    """Partitions for a table that is worked on repeatedly or opens into many rows."""
+    spark = df.sparkSession
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Even partitions for repeated passes; by a unique key where there is one."""
+    return df.repartition(width(df), key) if key in df.columns else df.repartition(width(df))

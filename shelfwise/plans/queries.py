@@ -17,6 +17,7 @@ from shelfwise.operators import rules, scoring, target
 from shelfwise.operators.encode import ordinal_codes
 from shelfwise.operators.quantiles import scalars
 from shelfwise.operators.ranking import rank_descending
+from shelfwise.operators.sizing import materialise
 from shelfwise.plans import batch, dashboard, prompts
 from shelfwise.schemas import PRODUCTS, REQUIRED, ensure_columns, required_columns
 from shelfwise.sources import payloads, tables, views
@@ -50,7 +51,7 @@ def _inputs(sf_dir: str) -> list[str]:
 
 @query("s0_products")
 def _(spark, d):
-    return rounded(build_products(spark, d), "prix", "remise_pct", "rating").drop("date_creation")
+    return build_products(spark, d).drop("date_creation")
 
 
 @query("s1_csv_read")
@@ -61,7 +62,7 @@ def _(spark, d):
         text = F.concat(F.col("nom"), F.lit(' \n "'), F.col("marque"), F.lit('", x'))
         tables.write_csv(products(spark, d).withColumn("description", text).select(PRODUCTS.names), path)
     back = tables.read_csv(spark, path, PRODUCTS)
-    return rounded(back.select("uid", "nom", "description", "prix", "disponible", "stock"), "prix")
+    return back.select("uid", "nom", "description", "prix", "disponible", "stock")
 
 
 @query("s2_shop_pages")
@@ -362,7 +363,7 @@ def _holed(spark, d):
 @query("f6_imputed")
 def _(spark, d):
     rows = feat.impute_and_scale(feat.derive(_holed(spark, d)))
-    return rounded(rows.select("uid", *feat.IMPUTED), *feat.IMPUTED)
+    return rounded(rows.select("uid", *feat.IMPUTED), *DERIVED)
 
 
 @query("f7_scaled")
@@ -383,10 +384,8 @@ def _(spark, d):
 def _(spark, d):
     scaled = [f"{c}_norm" for c in feat.SCALED]
     rows = feat.build_features(products(spark, d))
-    numbers = (*feat.IMPUTED, *scaled)
-    return rounded(
-        rows.select("uid", "en_promo", "segment_prix", "categorie_enc", "source_enc", *numbers), *numbers
-    )
+    kept = ("uid", "en_promo", "segment_prix", "categorie_enc", "source_enc", *feat.IMPUTED, *scaled)
+    return rounded(rows.select(*kept), *DERIVED, *scaled)
 
 
 @query("f10_coercion")
@@ -425,8 +424,7 @@ def _(spark, d):
 def _(spark, d):
     table = scoring.dashboard_table(_unscored(spark, d))
     return table.select(
-        "uid", "segment", F.round("ratio_qualite_prix", 3).alias("ratio_qualite_prix"), "en_promo",
-        F.round("prix_norm", 3).alias("prix_norm"), F.round("remise_pct_norm", 3).alias("remise_pct_norm"),
+        "uid", "segment", "ratio_qualite_prix", "en_promo", "prix_norm", "remise_pct_norm"
     )
 
 
@@ -533,7 +531,7 @@ def _(spark, d):
         "stock", F.when(F.col("product_id").cast("long") % 5 != 0, F.col("stock"))
     )
     rows = target.feature_matrix(lacking)
-    return rounded(rows.select("uid", *target.CLASS_FEATURES), "prix", "remise_pct")
+    return rows.select("uid", *target.CLASS_FEATURES)
 
 
 @query("l6_single_class")
@@ -664,7 +662,7 @@ def _(spark, d):
 
 
 def _counts(spark, d, items=rules.MAX_ITEMS):
-    return rules.pair_counts(_orders(spark, d), items)
+    return materialise(rules.pair_counts(_orders(spark, d), items))
 
 
 @query("a6_frequent_sets")
@@ -728,8 +726,7 @@ def _(spark, d):
 
 
 def _top(df):
-    shown = scoring.display_columns(df)
-    return rounded(shown, "prix", "rating", "remise_pct")
+    return scoring.display_columns(df)
 
 
 @query("t5_top_k")
@@ -793,7 +790,7 @@ def _(spark, d):
         views.enriched(spark, d), source="shopify", categorie="standard gizmo", prix_min=20, prix_max=500,
         promo_only=True,
     )
-    return rounded(kept.select("uid", "prix", "remise_pct"), "prix", "remise_pct")
+    return kept.select("uid", "prix", "remise_pct")
 
 
 @query("d1_filters_top_available")
@@ -809,7 +806,7 @@ def _(spark, d):
 
 @query("d2_price_range")
 def _(spark, d):
-    return rounded(dashboard.price_range(products(spark, d)), "prix_min", "prix_max")
+    return dashboard.price_range(products(spark, d))
 
 
 @query("d3_side_stats")
@@ -824,12 +821,12 @@ def _(spark, d):
 
 @query("d5_top_bars")
 def _(spark, d):
-    return rounded(dashboard.top_bars(views.enriched(spark, d)), "prix")
+    return dashboard.top_bars(views.enriched(spark, d))
 
 
 @query("d5_top_bars_short")
 def _(spark, d):
-    return rounded(dashboard.top_bars(views.enriched(spark, d), 20, 7, True), "prix")
+    return dashboard.top_bars(views.enriched(spark, d), 20, 7, True)
 
 
 @query("d6_segment_shares")
@@ -860,7 +857,7 @@ def _(spark, d):
 @query("d11_ranked_products")
 def _(spark, d):
     rows = dashboard.ranked_products(views.enriched(spark, d), 25, "remise_pct", "small ring")
-    return rounded(rows.select("uid", "remise_pct"), "remise_pct")
+    return rows.select("uid", "remise_pct")
 
 
 @query("d12_formatted")
@@ -886,7 +883,7 @@ def _(spark, d):
 
 @query("d16_price_stats")
 def _(spark, d):
-    return rounded(dashboard.price_stats(products(spark, d)), "minimum", "maximum", "mediane")
+    return dashboard.price_stats(products(spark, d))
 
 
 @query("d17_discount_spread")
@@ -901,8 +898,7 @@ def _(spark, d):
 
 @query("d19_search")
 def _(spark, d):
-    rows = dashboard.search_products(views.enriched(spark, d), "^(RED|blue) .*g")
-    return rounded(rows, "prix", "remise_pct", "rating")
+    return dashboard.search_products(views.enriched(spark, d), "^(RED|blue) .*g")
 
 
 @query("d20_last_entries")
