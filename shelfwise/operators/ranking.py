@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side
+from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise
+
+# Distinct scores one task ranks, and the most ranges they are split into.
+PART_VALUES, MOST_PARTS = 200_000, 5_000
 
 
 def rank_descending(
@@ -16,8 +22,8 @@ def rank_descending(
     Ranks come from the counts per distinct score; the rows are never sorted.
     ``distinct_bound`` is a proven limit on distinct scores (two decimals between 0
     and 100 give 10,001): one running total over that short table, then broadcast.
-    Without it scores are grouped by their whole part, the groups get running totals,
-    a window ranks each group's distinct scores, and the size is counted before a
+    Without it the distinct scores are split into even value ranges, the ranges get
+    running totals, a window ranks each range, and the size is counted before a
     broadcast.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"))
@@ -27,21 +33,33 @@ def rank_descending(
         ranks = F.broadcast(counts.select(score, place.cast("int").alias(out)))
         return df.join(ranks, score, "left")
 
-    counts = counts.withColumn("_whole", F.floor(score))
-    above = Window.orderBy(F.desc("_whole")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = counts.groupBy("_whole").agg(F.sum("_n").alias("_m")).select(
-        "_whole", F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_before")
+    counts = materialise(counts.withColumn(score, F.col(score).cast("double")))
+    parts = max(1, min(MOST_PARTS, -(-counts.count() // PART_VALUES)))
+    placed = _in_even_parts(counts, score, parts)
+    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    groups = placed.groupBy("_part").agg(F.sum("_n").alias("_m")).select(
+        "_part", F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_before")
     )
     within = (
-        Window.partitionBy("_whole")
+        Window.partitionBy("_part")
         .orderBy(F.desc(score))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     place = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1
-    ranks = counts.join(groups, "_whole").select(score, place.cast("long").alias(out))
+    ranks = placed.join(F.broadcast(groups), "_part").select(score, place.cast("long").alias(out))
     return df.join(lookup_side(ranks), score, "left")
 
 
+def _in_even_parts(counts: DataFrame, score: str, parts: int) -> DataFrame:
+    """Value ranges holding about as many distinct scores each, as ``_part``."""
+    if parts == 1:
+        return counts.withColumn("_part", F.lit(0.0))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = counts.agg(F.percentile_approx(score, shares, 10 * parts)).first()[0]
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    return Bucketizer(splits=splits, inputCol=score, outputCol="_part").transform(counts)
+
+
 def top_k(df: DataFrame, k: int, by: str, tie: str = "uid", ascending: bool = False) -> DataFrame:
     """The k best rows, ties decided by ``tie``; each task keeps k rows only."""
     first = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)

@@ -171,45 +171,38 @@ def chat_context(df: DataFrame) -> DataFrame:
     ).withColumns({"sources": F.lit(sources), "categories": F.lit(listed), "top5": F.lit(top5)})
 
 
-LEAD = 3
+def _pieces(text: Column, lengths: list[int]) -> Column:
+    """Distinct pieces of a text in the given lengths, at every position."""
+    size = F.length(text)
 
+    def of_length(wanted: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - wanted + 1, F.lit(1)))
+        return F.transform(starts, lambda at: F.substr(text, at, wanted))
 
-def _leads(text: Column) -> Column:
-    """Distinct pieces of up to LEAD letters at every position, and the empty one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-
-    def of_width(width: int) -> Column:
-        return F.transform(starts, lambda at: F.substr(text, at, F.lit(width)))
-
-    pieces = [of_width(w) for w in range(1, LEAD + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= size)
+    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
 def enrich_questions(questions: DataFrame, df: DataFrame, key: str = "qid", text: str = "question") -> DataFrame:
     """Append real figures to each question: its category, promotions, low prices.
 
-    A category is found by its first letters: questions and categories meet on pieces
-    of three letters, and only those candidates are checked for the whole name. The
-    first matching category in sorted order counts.
+    A category occurs in a question when it equals one of its pieces, so questions meet
+    categories by key: a question gives its pieces in the lengths category names have,
+    and a piece meets one name at most. The first matching category in sorted order
+    counts.
     """
     stats = df.where(F.col("categorie").isNotNull()).groupBy("categorie").agg(
         F.count("*").alias("n"), F.avg("prix").alias("px"), F.avg("remise_pct").alias("rem")
     )
-    stats = lookup_side(
-        stats.select(
-            "*",
-            F.lower("categorie").alias("low"),
-            F.substring(F.lower("categorie"), 1, LEAD).alias("lead"),
-        )
-    )
+    stats = lookup_side(stats.withColumn("piece", F.lower("categorie")))
+    lengths = scalars(stats, n=F.sort_array(F.collect_set(F.length("piece"))))["n"]
     asked = questions.withColumn("_q", F.lower(text))
-    pieces = asked.select(key, "_q", F.explode(_leads(F.col("_q"))).alias("lead"))
-    hits = (
-        pieces.join(stats, "lead")
-        .where(F.contains("_q", "low"))
-        .groupBy(key)
-        .agg(F.min(F.struct("categorie", "n", "px", "rem")).alias("c"))
-    )
+    if lengths:
+        pieces = asked.select(key, F.explode(_pieces(F.col("_q"), lengths)).alias("piece"))
+        met = pieces.join(stats, "piece")
+    else:
+        met = asked.select(key, F.lit("").alias("piece")).join(stats, "piece")
+    hits = met.groupBy(key).agg(F.min(F.struct("categorie", "n", "px", "rem")).alias("c"))
     fact = F.concat(
         F.lit("\n[Données réelles pour '"), F.col("c.categorie"), F.lit("': "),
         F.col("c.n").cast("string"), F.lit(" produits, prix moyen "), fixed(F.col("c.px"), 0),

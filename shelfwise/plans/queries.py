@@ -469,14 +469,12 @@ def _(spark, d):
 
 @query("c6_dbscan")
 def _(spark, d):
-    return density.dbscan(views.features(spark, d), cluster.CLUSTER_FEATURES).select(
-        "uid", "cluster_dbscan", "is_anomalie"
-    )
+    return views.outlined(spark, d).select("uid", "cluster_dbscan", "is_anomalie")
 
 
 @query("c7_outlier_counts")
 def _(spark, d):
-    return density.outlier_counts(density.dbscan(views.features(spark, d), cluster.CLUSTER_FEATURES))
+    return density.outlier_counts(views.outlined(spark, d))
 
 
 @query("c8_pca")

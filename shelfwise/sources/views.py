@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.features import score_band
 from shelfwise.operators.audit import manifest_table
+from shelfwise.operators.cluster import CLUSTER_FEATURES
+from shelfwise.operators.density import dbscan
 from shelfwise.operators.features import build_features
 from shelfwise.operators.scoring import composite_score
 from shelfwise.operators.target import create_target
@@ -37,6 +39,14 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, "enriched", catalogue_inputs(sf_dir), build, ("source",))
 
 
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed feature table with density clusters and outliers."""
+    return landed(
+        spark, "outlined", catalogue_inputs(sf_dir),
+        lambda: dbscan(features(spark, sf_dir), CLUSTER_FEATURES), ("source",),
+    )
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue categories bought per order, as rule input."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(

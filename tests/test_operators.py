@@ -114,6 +114,17 @@ def test_rank_ties_take_the_minimum(spark, bound):
     assert ranks == [1, 1, 3, 4, 4, 6, 7]
 
 
+def test_rank_split_into_ranges(spark, monkeypatch):
+    from shelfwise.operators import ranking
+
+    monkeypatch.setattr(ranking, "PART_VALUES", 40)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.uniform(0, 1, 300), rng.integers(0, 9, 200)]).round(3)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, s double")
+    got = {r["i"]: r["rang"] for r in rank_descending(df, "s", "rang").collect()}
+    assert got == {i: int((values > v).sum()) + 1 for i, v in enumerate(values)}
+
+
 def test_first_per_key_keeps_columns_and_order(spark):
     df = spark.createDataFrame([("a", 2, "y"), ("a", 1, None), ("b", 5, "z")], "k string, seq int, v string")
     got = {(r["k"], r["seq"], r["v"]) for r in first_per_key(df, ["k"], ["seq"]).collect()}
@@ -309,6 +320,22 @@ def test_score_without_model_and_top_k(spark):
     assert scoring.filtered_top_k(df, 2).count() == 2
 
 
+def test_questions_find_categories_anywhere(spark):
+    from shelfwise.plans.prompts import enrich_questions
+
+    rows = [("u1", "A", "bag", 10.0, 0.0), ("u2", "B", "Sac à dos", 20.0, 37.5), ("u3", "C", "sac", 30.0, 10.0)]
+    df = spark.createDataFrame(rows, "uid string, nom string, categorie string, prix double, remise_pct double")
+    asked = ["Un SAC À DOS en promo ?", "handbags", "budget", "", "rien"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "qid int, question string")
+    got = {r["qid"]: r["enriched"] for r in enrich_questions(questions, df).collect()}
+    assert got[0] == (
+        "Un SAC À DOS en promo ?\n[Données réelles pour 'Sac à dos': 1 produits, prix moyen 20€, remise moyenne 37.5%]"
+        "\n[Top 3 remises: B (38%), C (10%)]"
+    )
+    assert "pour 'bag'" in got[1] and got[3] == "" and got[4] == "rien"
+    assert got[2] == "budget\n[Produits les moins chers: A (10€), B (20€), C (30€)]"
+
+
 def test_products_schema(spark, small):
     from shelfwise.sources.offers import products
 
