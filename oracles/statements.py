@@ -411,7 +411,7 @@ ORDER BY n DESC, categorie LIMIT 16""")
 
 def _histogram(table: str, value: str) -> str:
     return f"""
-SELECT bin, round(lo + bin * w, 4) AS debut, count(*) AS n FROM (
+SELECT bin, lo + bin * w AS debut, count(*) AS n FROM (
   SELECT lo, w, CAST(least(floor((v - lo) / w), 39) AS INTEGER) AS bin FROM (
     SELECT v, min(v) OVER () AS lo, (max(v) OVER () - min(v) OVER ()) / 40 AS w FROM (SELECT {value} AS v FROM {table})))
 GROUP BY bin, lo, w"""
@@ -491,7 +491,7 @@ _MARKETING = f"""
 SELECT uid, left(nom, 60) AS nom, categorie, shop_url, format('{{:.2f}}', prix) AS prix,
   format('{{:.1f}}', remise_pct) AS remise_pct, format('{{:.2f}}', score_composite) AS score_composite, segment,
   CAST(stock AS VARCHAR) AS stock, CASE WHEN en_promo = 1 THEN 'Oui' ELSE 'Non' END AS en_promo
-FROM enriched {_BEST} LIMIT 10"""
+FROM enriched ORDER BY enriched.score_composite DESC, uid LIMIT 10"""
 _CHAT = f"""
 SELECT count(*) AS nb_produits, format('{{:.2f}}', min(prix)) AS prix_min, format('{{:.2f}}', max(prix)) AS prix_max,
   format('{{:.1f}}', count(*) FILTER (remise_pct > 0) / count(*) * 100) AS pct_promo,

@@ -145,7 +145,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     width = (high - low) / bins if high > low else 1.0
     place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counted = df.where(value.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
-    return counted.select("bin", F.round(F.lit(low) + F.col("bin") * F.lit(width), 4).alias("debut"), "n")
+    return counted.select("bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("debut"), "n")
 
 
 def score_histogram(df: DataFrame, bins: int = SCORE_BINS) -> DataFrame:
