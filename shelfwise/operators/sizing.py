@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.session import work_dir
 
 BROADCAST_ROWS = 1_000_000
+PARTITION_ROWS = 1_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -35,5 +36,11 @@ def width(df: DataFrame) -> int:
 
 
 def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Even partitions for repeated passes; by a unique key where there is one."""
-    return df.repartition(width(df), key) if key in df.columns else df.repartition(width(df))
+    """Even partitions for repeated passes, in a number that fits the counted rows.
+
+    Every core gets work, a partition stays under a million short rows. Rows are placed
+    by a unique key where there is one, else in turn.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-df.count() // PARTITION_ROWS))
+    return df.repartition(parts, key) if key in df.columns else df.repartition(parts)

@@ -1033,5 +1033,5 @@ def _(spark, d):
         pattern="events.parquet",
     )
     return state.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("jour"), "status", "n", "duration_cents"
+        views.utc_day(F.col("window_start")).alias("jour"), "status", "n", "duration_cents"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.features import score_band
@@ -112,5 +112,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_shape(events: DataFrame) -> DataFrame:
-    """Audit entries of a stream; event time needs a time-zoned type."""
-    return audit_shape(events).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    """Audit entries of a stream; event time needs a zoned type, read as UTC in any session."""
+    utc = F.concat(F.col("timestamp").cast("string"), F.lit("+00:00")).cast("timestamp")
+    return audit_shape(events).withColumn("timestamp", utc)
+
+
+def utc_day(moment: Column) -> Column:
+    """Day of a zoned time in UTC, as text."""
+    days = F.floor(F.unix_seconds(moment) / 86_400).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
