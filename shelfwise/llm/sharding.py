@@ -24,33 +24,45 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def _permits(asked: dict[tuple[int, int], int], loads: list[int], quota: int) -> list[int]:
+    """How many rows may move from shard to shard: as many as come back, and what the quota leaves."""
+    shards = len(loads)
+    out = {pair: min(n, asked.get(pair[::-1], 0)) for pair, n in asked.items()}
+    left = [max(0, quota - n) for n in loads]
+    for pair in sorted(asked, key=lambda p: (-asked[p], p)):
+        more = min(asked[pair] - out[pair], left[pair[1]])
+        out[pair] += more
+        left[pair[1]] -= more
+    return [out.get((a, b), 0) for a in range(shards) for b in range(shards)]
+
+
 def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """Moves linked documents towards the shard where most of their neighbours are.
 
     ``cells`` holds ``(link, shard, n)``: how many documents of a link lie in a shard, which
     is each of its documents' whole neighbourhood. In every round each cell joins its link's
-    histogram and asks to move to the fullest shard. A shard accepts requests in the order
-    of the neighbours waiting there, up to what its quota leaves; the last one accepted may
-    be cut. Rounds end when nothing moves.
+    histogram and asks to move to the fullest shard that the link does not fill alone. From
+    one shard to another as many rows may move as move back, and beyond that what the
+    other's quota leaves; requests with most neighbours waiting go first and the last one
+    may be cut. Rounds end when nothing moves.
     """
     for _ in range(rounds):
         loads = _loads(cells, shards)
-        full = F.array(*[F.lit(max(0, quota - n)) for n in loads])
-        best = cells.groupBy("link").agg(
+        open_cells = cells.where(F.col("n") < quota)
+        best = open_cells.groupBy("link").agg(
             F.max(F.struct("n", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("best")
         )
-        wishes = (
-            cells.join(best.select("link", F.col("best.shard").alias("to"), F.col("best.n").alias("there")), "link")
-            .where("shard <> to")
-            .select("link", "shard", "to", "there", "n")
-        )
-        wishes = wishes.where(F.get(full, F.col("to")) > 0)
-        if wishes.isEmpty():
+        wishes = open_cells.join(best.select("link", F.col("best.shard").alias("to"), F.col("best.n").alias("there")), "link")
+        wishes = stage(wishes.where("shard <> to").select("link", "shard", "to", "there", "n"), "shard-wishes")
+        asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        permits = _permits(asked, loads, quota)
+        if not any(permits):
             break
-        queued = running_total(wishes, ["to", F.desc("there"), "link", "shard"], ["n"], "shard-wishes")
-        bases = queued.groupBy("to").agg(F.min("before_n").alias("base"))
-        fits = F.get(full, F.col("to")) - (F.col("before_n") - F.col("base"))
-        moves = queued.join(bases, "to").withColumn("moved", F.greatest(F.lit(0), F.least("n", fits)).cast("long"))
+        permit = F.get(F.array(*[F.lit(n) for n in permits]), F.col("shard") * shards + F.col("to"))
+        queued = running_total(wishes, ["shard", "to", F.desc("there"), "link"], ["n"], "shard-queues")
+        bases = queued.groupBy("shard", "to").agg(F.min("before_n").alias("base"))
+        fits = permit - (F.col("before_n") - F.col("base"))
+        moves = queued.join(bases, ["shard", "to"]).withColumn("moved", F.greatest(F.lit(0), F.least("n", fits)).cast("long"))
         moves = moves.where("moved > 0")
         changed = (
             cells.union(moves.select("link", "shard", (-F.col("moved")).alias("n")))
@@ -60,8 +72,8 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
             .where("n > 0")
         )
         after = stage(changed, "shard-cells")
-        release(queued)
-        release(cells)
+        for old in (queued, wishes, cells):
+            release(old)
         cells = after
     return cells
 

@@ -27,8 +27,8 @@ class Settings:
 
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
-    features: int = 1 << 13
-    min_documents: int = 3
+    features: int = 1 << 11
+    min_documents: int = 5
     max_train: int = 20_000
     smoothing: float = 1.0
     penalty: float = 1.0
@@ -219,7 +219,8 @@ def with_scores(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
         odds = np.array(
             [bias + weights[present(t.as_py())].sum() for t in batch.column(batch.schema.get_field_index(f"{OWN}text"))]
         )
-        return [1 / (1 + np.exp(-np.clip(odds, -700, 700)))]
+        with np.errstate(over="ignore"):
+            return [1 / (1 + np.exp(-odds))]
 
     wanted = docs.select(*keep, text_or_empty(text).alias(f"{OWN}text"))
     return map_batches(wanted, keep, [StructField(f"{OWN}score", DoubleType(), False)], work)
