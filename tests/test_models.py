@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import classify, cluster, density
+from shelfwise.operators import classify, cluster, density, evaluate
 from shelfwise.operators.features import build_features
 from shelfwise.plans import batch
 from shelfwise.sources import generators, views
+from shelfwise.streaming import audit_counts
 from shelfwise.streaming.audit_counts import run_audit_counts
 
 LIGHT = classify.ModelSettings(forest_trees=10, boost_rounds=5, folds=2)
@@ -160,7 +161,7 @@ def test_stream_adds_what_is_new(spark, small, tmp_path):
 
     def run():
         return run_audit_counts(
-            spark, folder, events.schema, views.stream_shape, target, late="40 days", files_per_batch=1
+            spark, folder, events.schema, views.stream_shape, target, files_per_batch=1
         )
 
     assert run().agg(F.sum("n")).first()[0] == events.where("event_id < 500").count()
@@ -170,3 +171,28 @@ def test_stream_adds_what_is_new(spark, small, tmp_path):
     assert run().agg(F.sum("n")).first()[0] == events.count()  # nothing new, nothing changes
     expected = events.where("event_type = 'error'").count()
     assert final.where("status = 'FAILURE'").agg(F.sum("n")).first()[0] == expected
+
+
+def test_stream_counts_rows_that_come_late_and_compacts(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    edge = events.agg(F.expr("percentile(unix_timestamp(ts), 0.5)")).first()[0]
+    newer = F.unix_timestamp("ts") >= edge
+    whole = None
+    for part in (events.where(newer), events.where(~newer)):  # the older half comes last
+        part.repartition(3).write.mode("append").parquet(folder)
+        whole = run_audit_counts(spark, folder, events.schema, views.stream_shape, target, files_per_batch=1)
+    assert whole.agg(F.sum("n")).first()[0] == events.count()
+    before = sorted(whole.collect())
+    audit_counts.compact(spark, target, most=1)
+    assert sorted(audit_counts.current_state(spark, target).collect()) == before
+    assert len(list((tmp_path / "out" / "state").glob("batch=*"))) == 0
+    events.limit(10).coalesce(1).write.mode("append").parquet(folder)
+    after = run_audit_counts(spark, folder, events.schema, views.stream_shape, target)
+    assert after.agg(F.sum("n")).first()[0] == events.count() + 10
+
+
+def test_confusion_matrix_keeps_every_class(spark):
+    df = spark.createDataFrame([(0, 2), (1, 1), (3, 0), (0, 2)], "label int, prediction int")
+    rows = {r["label"]: r.asDict() for r in evaluate.confusion_matrix(df).collect()}
+    assert sorted(rows) == [0, 1, 2, 3] and rows[0]["pred_2"] == 2 and rows[3]["pred_0"] == 1
