@@ -28,14 +28,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _sliding(reduce: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
-    """``reduce`` over every window of ``width`` neighbours, in linear time."""
-    n = len(x)
-    padded = np.resize(x[-1:], -(-n // width) * width)
-    padded[:n] = x
-    rows = padded.reshape(-1, width)
-    ahead = reduce.accumulate(rows, axis=1).ravel()
-    behind = reduce.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return reduce(behind[: n - width + 1], ahead[width - 1 : n])
+    """Least or largest of every window of ``width`` neighbours, from windows of doubled width."""
+    reach, whole = 1, len(x) - width + 1
+    while 2 * reach <= width:
+        x = reduce(x[:-reach], x[reach:])
+        reach *= 2
+    return reduce(x[:whole], x[width - reach : width - reach + whole])
 
 
 class Sampler:
