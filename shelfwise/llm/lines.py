@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfwise.llm.common import OWN, TAG, map_batches, stage, tagged, text_or_empty
+from shelfwise.llm.common import OWN, TAG, stage, tagged, text_or_empty
 from shelfwise.llm.components import components
 
-#: Characters whose shingles are hashed at once.
+#: Characters whose shingles are hashed at once, and characters of a tile.
 CHARACTERS = 1 << 22
+#: Lines of a tile of a bucket; two tiles are compared in one task.
+TILE = 1024
 RESULT = ("n_lines", "n_removed", "kept_sha256", "kept_text")
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -56,36 +60,40 @@ def signatures(lines: list[str], size: int, bins: int) -> np.ndarray:
         np.minimum.at(flat, np.repeat(whole, count) * bins + (codes >> np.uint64(40)).astype(np.int64) % bins, codes)
     for i in np.flatnonzero(lengths < size):
         out[i, 0] = shingles(lines[i], size)[0] if lengths[i] else 0
-    empty = out == np.iinfo(np.uint64).max
-    step = np.uint64(1)
-    source, distance = out.copy(), np.zeros_like(out)
-    while empty.any():
-        source, distance = np.roll(source, -1, 1), distance + step
-        fill = empty & (source != np.iinfo(np.uint64).max)
-        out[fill] = source[fill] + distance[fill] * _MIX
-        empty &= ~fill
+    have = out != np.iinfo(np.uint64).max
+    short = np.flatnonzero(~have.all(1))
+    if len(short):
+        lasting = np.tile(have[short], 2)
+        ahead = np.where(lasting, np.arange(2 * bins, dtype=np.int32), np.int32(4 * bins))
+        ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        distance = (ahead - np.arange(bins, dtype=np.int32)).astype(np.uint64)
+        out[short] = np.take_along_axis(out[short], ahead % bins, 1) + distance * _MIX
     return out
 
 
 def _band_keys(size: int, bands: int, rows: int):
-    def work(batch):
-        lines = batch.column(batch.schema.get_field_index("line")).to_pylist()
-        keys, at = [], 0
-        while at < len(lines):
-            upto, total = at, 0
-            while upto < len(lines) and (upto == at or total + len(lines[upto]) <= CHARACTERS):
-                total += len(lines[upto])
-                upto += 1
-            signature = signatures(lines[at:upto], size, bands * rows).reshape(upto - at, bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (upto - at, bands))
-            for r in range(rows):
-                key = (key ^ signature[:, :, r]) * _MIX
-                key ^= key >> np.uint64(29)
-            keys.extend(key.view(np.int64).tolist())
-            at = upto
-        return [keys]
-
-    return work
+    """A row ``(key, lid)`` for each line and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(batch.schema.get_field_index("line")).to_pylist()
+            lids = batch.column(batch.schema.get_field_index("lid")).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(lines):
+                upto, total = at, 0
+                while upto < len(lines) and (upto == at or total + len(lines[upto]) <= CHARACTERS):
+                    total += len(lines[upto])
+                    upto += 1
+                signature = signatures(lines[at:upto], size, bands * rows).reshape(upto - at, bands, rows)
+                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (upto - at, bands))
+                for r in range(rows):
+                    key = (key ^ signature[:, :, r]) * _MIX
+                    key ^= key >> np.uint64(29)
+                columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(lids[at:upto], bands))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "lid"])
+                at = upto
+
+    return run
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,6 +137,83 @@ def _verify(size: int, similarity: float):
     return run
 
 
+def _near_roots(roots: np.ndarray, lines: list[str], size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the components of the lines that are similar, all pairs compared."""
+    sets = [shingles(x, size) for x in lines]
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    who = np.repeat(np.arange(len(sets)), counts)
+    _, column, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = shared[column] > 1
+    who, column = who[often], (np.cumsum(shared > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    exact = np.float32 if counts.max() < 1 << 24 else np.float64
+    both = np.zeros((len(sets), len(sets)), exact)
+    width = max(1, CHARACTERS // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        first, last = np.searchsorted(column, [low, low + width])
+        has = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), exact)
+        has[who[first:last], column[first:last] - low] = 1
+        both += has @ has.T
+    both = both.astype(np.float64)
+    values, at = np.unique(roots, return_inverse=True)
+    near = both >= similarity * (counts[:, None] + counts[None, :] - both)
+    a, b = np.nonzero(np.triu(near, 1))
+    a, b = at[a], at[b]
+    label = np.arange(len(values))
+    while len(a := a[left := label[a] != label[b]]):
+        b = b[left]
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (jumped := label[label]).tolist() != label.tolist():
+            label = jumped
+    moved = np.flatnonzero(label != np.arange(len(values)))
+    return values[label[moved]], values[moved]
+
+
+def _cell_links(size: int, similarity: float):
+    """Links between components inside each cell; rows come sorted by cell, and a cell has at most two tiles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            cells = rows["cell"].to_numpy(np.int64)
+            bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+            if batch is not None:  # the last cell may go on in the next batch
+                held, bounds = rows.iloc[bounds[-2] :], bounds[:-1]
+            roots, lines = rows["root"].to_numpy(np.int64), rows["line"].tolist()
+            found = [_near_roots(roots[i:j], lines[i:j], size, similarity) for i, j in zip(bounds[:-1], bounds[1:])]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _cells(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Deals the lines of mixed buckets to cells ``(cell, root, line)`` that hold two tiles at most.
+
+    The lines of a bucket's largest component need no comparison with each other: each
+    tile of other lines meets each tile of the largest component and each other tile of its
+    own kind.
+    """
+    rows = members.join(mixed, "key").withColumn("main", F.col("root") == F.col("main_root"))
+    own = F.pmod(F.xxhash64("lid", F.lit("tile")), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int")
+    rows = rows.withColumn("own", own)
+    to, tm = F.sequence(F.lit(0), F.col("to") - 1), F.sequence(F.lit(0), F.col("tm") - 1)
+    cell = lambda kind, i, j: F.xxhash64(F.col("key"), F.lit(kind), i, j)
+    as_main = F.transform(to, lambda i: cell("main", i, F.col("own")))
+    as_other = F.concat(
+        F.transform(tm, lambda j: cell("main", F.col("own"), j)),
+        F.transform(F.filter(to, lambda j: j != F.col("own")), lambda j: cell("other", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
+    )
+    return rows.select(F.explode(F.when(F.col("main"), as_main).otherwise(as_other)).alias("cell"), "root", "line")
+
+
 def _cut(keep: list[str], with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,34 +236,45 @@ def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, ro
     """Component of each line that has a near copy: ``(lid, root)``, from distinct ``(lid, line)``.
 
     Every bucket of a band links its lines to its first one; linked pairs are compared
-    shingle by shingle and the links that hold are united. Only where a bucket still holds
-    lines of different components are their pairs compared too, so that no link inside a
-    bucket is lost and a large family of near copies costs a pair per line, not per pair.
+    shingle by shingle and the links that hold are united, so a large family of near copies
+    costs a pair per line. Where a bucket still holds lines of different components, all of
+    those are compared inside tasks, tile by tile, and only links that join components are
+    put out: no link inside a bucket is lost and no pairs are written.
     """
-    banded = map_batches(lines, ["lid"], [StructField("keys", ArrayType(LongType()), False)], _band_keys(size, bands, rows))
-    dealt = banded.select(F.explode("keys").alias("key"), "lid").repartition("key").sortWithinPartitions("key", "lid")
+    dealt = lines.select("line", "lid").mapInArrow(_band_keys(size, bands, rows), "key long, lid long")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "lid")
     buckets = stage(dealt.mapInPandas(_buckets, "key long, lid long, pivot long"), "lines-buckets")
+    texts = lines.join(buckets.select("lid").distinct(), "lid", "left_semi").select("lid", "line")
+    texts = stage(texts, "lines-candidates")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        texts = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
-        texts = texts.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
-        return texts.select("a", "b", "line_a", "line_b").mapInPandas(_verify(size, similarity), "a long, b long")
+    first = buckets.where("lid <> pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
+    pairs = first.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
+    pairs = pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
+    links = pairs.select("a", "b", "line_a", "line_b").mapInPandas(_verify(size, similarity), "a long, b long")
+    roots = components(links, "lines-components").withColumnsRenamed({"node": "lid"})
 
-    first = stage(buckets.where("lid <> pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct(), "lines-pairs")
-    links = stage(verified(first), "lines-links")
-    roots = components(links, "lines-components")
-    rooted = buckets.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
+    rooted = texts.join(roots, "lid", "left").select("lid", F.coalesce("root", "lid").alias("root"), "line")
     rooted = stage(rooted, "lines-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = stage(rooted.join(mixed, "key"), "lines-mixed")
-    other = members.select("key", F.col("lid").alias("b"), F.col("root").alias("root_b"))
-    across = members.select("key", F.col("lid").alias("a"), F.col("root").alias("root_a")).join(other, "key")
-    across = across.where("root_a <> root_b and a < b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = stage(verified(across), "lines-links")
-    if more.isEmpty():
-        return roots.select(F.col("node").alias("lid"), "root")
-    every = links.union(more)
-    return components(every, "lines-components").select(F.col("node").alias("lid"), "root")
+    placed = buckets.select("key", "lid").join(rooted.select("lid", "root", F.length("line").alias("chars")), "lid")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    whole = parts.groupBy("key").agg(
+        F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
+    )
+    tiles = lambda n, chars: F.greatest(F.ceil(n / TILE), F.ceil(chars / CHARACTERS)).cast("int")
+    mixed = whole.where("n > main.n").select(
+        "key",
+        F.col("main.root").alias("main_root"),
+        tiles(F.col("main.n"), F.col("main.chars")).alias("tm"),
+        tiles(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("to"),
+    )
+    mixed = stage(mixed, "lines-mixed")
+    members = buckets.select("key", "lid").join(mixed.select("key"), "key", "left_semi").join(rooted, "lid")
+    cells = _cells(members, mixed).repartition("cell").sortWithinPartitions("cell")
+    joined = components(cells.mapInPandas(_cell_links(size, similarity), "a long, b long"), "lines-joined")
+    joined = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("lid", F.coalesce("new", "root").alias("root"))
+    alone = joined.select(F.col("old").alias("lid"), F.col("new").alias("root")).join(roots.select("lid"), "lid", "left_anti")
+    return moved.union(alone)
 
 
 def without_similar_lines(

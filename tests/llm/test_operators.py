@@ -438,7 +438,9 @@ def test_lines_awkward(spark, awkward, empty):
     assert got == {1: near, 2: "", 3: "a\nb", 4: near[:50]}
 
 
-def test_families_of_near_lines_keep_every_link(spark):
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_families_of_near_lines_keep_every_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(lines, "TILE", tile)
     rng = np.random.default_rng(5)
     base = list("".join(rng.choice(list("abcdefghij "), 200)))
     family = []
@@ -455,6 +457,33 @@ def test_families_of_near_lines_keep_every_link(spark):
     assert [roots.get(i, i) for i in range(len(sets))] == roots_of(len(sets), near)
 
 
+def test_near_roots_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(lines, "CHARACTERS", 400)
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefghij "), 80))
+    family = ["", "abc", "abc"] + [base[: rng.integers(60, 81)] + "".join(rng.choice(list("xy"), rng.integers(0, 4))) for _ in range(40)]
+    roots = np.arange(100, 100 + len(family)) // 2 * 2
+    a, b = lines._near_roots(roots, family, 8, 0.8)
+    sets = [set(lines.shingles(t, 8).tolist()) for t in family]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    same = [(i, j) for i in range(len(sets)) for j in range(i) if roots[i] == roots[j]]
+    place = {int(r): i for i, r in reversed(list(enumerate(roots)))}
+    assert roots_of(len(sets), same + [(place[int(x)], place[int(y)]) for x, y in zip(a, b)]) == roots_of(len(sets), same + near)
+
+
+def test_signatures_borrow_from_the_next_bin():
+    for line in ("", "ab", "abcdefgh", "abcdefghi", "the quick brown fox jumps over the lazy dog" * 3):
+        got = lines.signatures([line], 8, 60)[0]
+        codes = lines.shingles(line, 8) if line else np.zeros(1, np.uint64)
+        least = {}
+        for c in map(int, codes):
+            slot = (c >> 40) % 60 if len(line) >= 8 else 0
+            least[slot] = min(c, least.get(slot, c))
+        for i in range(60):
+            away = next(d for d in range(60) if (i + d) % 60 in least)
+            assert int(got[i]) == (least[(i + away) % 60] + away * 0xBF58476D1CE4E5B9) % (1 << 64)
+
+
 # ---- packing ---------------------------------------------------------------------------
 
 
