@@ -18,6 +18,7 @@ from shelfwise.sources.landing import file_system
 #: Own columns start with this, so that columns of the input can't clash with them.
 OWN = "__sw_"
 TAG = f"{OWN}tag"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +31,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, outlives executors."""
+    """Write a table to the shared folder and read it back: cuts lineage, outlives executors.
+
+    Nothing reads the shuffle files of the write again, so Spark deletes them at its end and
+    does not keep those of all steps until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._staged_path = path
     return stored
