@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)

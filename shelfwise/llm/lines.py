@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfwise.llm.common import OWN, TAG, stage, tagged, text_or_empty
+from shelfwise.llm.common import OWN, TAG, release, stage, tagged, text_or_empty
 from shelfwise.llm.components import components
 
 #: Characters whose shingles are hashed at once, and characters of a tile.
@@ -255,6 +255,7 @@ def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, ro
 
     rooted = texts.join(roots, "lid", "left").select("lid", F.coalesce("root", "lid").alias("root"), "line")
     rooted = stage(rooted, "lines-rooted")
+    release(texts)
     placed = buckets.select("key", "lid").join(rooted.select("lid", "root", F.length("line").alias("chars")), "lid")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     whole = parts.groupBy("key").agg(
@@ -271,6 +272,8 @@ def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, ro
     members = buckets.select("key", "lid").join(mixed.select("key"), "key", "left_semi").join(rooted, "lid")
     cells = _cells(members, mixed).repartition("cell").sortWithinPartitions("cell")
     joined = components(cells.mapInPandas(_cell_links(size, similarity), "a long, b long"), "lines-joined")
+    for done in (buckets, rooted, mixed):
+        release(done)
     joined = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
     moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("lid", F.coalesce("new", "root").alias("root"))
     alone = joined.select(F.col("old").alias("lid"), F.col("new").alias("root")).join(roots.select("lid"), "lid", "left_anti")
@@ -306,12 +309,15 @@ def without_similar_lines(
     own = docs.select(*names, F.col(doc_id).cast("long").alias(f"{OWN}id"), text_or_empty(text).alias(f"{OWN}text"))
     docs_rows = stage(tagged(own), "lines-docs")
     pieces = docs_rows.select(TAG, f"{OWN}id", F.posexplode(F.split(f"{OWN}text", "\n", -1)).alias("place", "line"))
-    pieces = pieces.where(F.length(F.trim("line")) > 0).withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary"))))
-    distinct = stage(tagged(pieces.select("digest", "line").distinct()).withColumnRenamed(TAG, "lid"), "lines-distinct")
+    pieces = pieces.where(F.length(F.trim("line")) > 0)
+    digest = F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest")
+    distinct = tagged(pieces.select("line").distinct()).select(F.col(TAG).alias("lid"), digest, "line")
+    distinct = stage(distinct, "lines-distinct")
     groups = similar_lines(distinct.select("lid", "line"), size, similarity, bands, rows)
     root_of = distinct.select("digest", "lid").join(groups, "lid", "left").select("digest", F.coalesce("root", "lid").alias("root"))
-    placed = pieces.select(TAG, f"{OWN}id", "place", "digest").join(root_of, "digest").select(TAG, f"{OWN}id", "place", "root")
+    placed = pieces.select(TAG, f"{OWN}id", "place", digest).join(root_of, "digest").select(TAG, f"{OWN}id", "place", "root")
     placed = stage(placed, "lines-placed")
+    release(distinct)
     firsts = placed.groupBy("root").agg(F.min(F.struct(f"{OWN}id", TAG, "place")).alias("first"))
     firsts = firsts.select("root", F.col(f"first.{TAG}").alias("first_tag"), F.col("first.place").alias("first_place"))
     gone = placed.join(firsts, "root").where((F.col(TAG) != F.col("first_tag")) | (F.col("place") != F.col("first_place")))
