@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities, the ampersand last.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"),
-    ("&deg;", "°"), ("&times;", "×"), ("&agrave;", "à"), ("&acirc;", "â"), ("&ccedil;", "ç"),
-    ("&egrave;", "è"), ("&eacute;", "é"), ("&ecirc;", "ê"), ("&euml;", "ë"), ("&icirc;", "î"),
-    ("&iuml;", "ï"), ("&ocirc;", "ô"), ("&ouml;", "ö"), ("&ugrave;", "ù"), ("&ucirc;", "û"),
-    ("&uuml;", "ü"), ("&szlig;", "ß"), ("&amp;", "&"),
-)
 # Fixed value: longest description kept.
 DESCRIPTION_CHARS = 500
 
 # Markup that carries no text, replaced by a mark first so that a run of it gives one blank.
 SILENT_BLOCKS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 COMMENTS = r"(?s)<!--.*?-->"
-TAGS = r"<[!/?a-zA-Z][^>]*>"
+# A ">" inside a quoted value does not end a tag.
+TAGS = r"""<[!/?a-zA-Z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 MARK = "\u0001"
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decode ``&#233;`` and ``&#xe9;`` by splitting at the marker; no per-row Python."""
-    pieces = F.split(text, "&#")
+def _named_entities() -> Column:
+    """Map of all named characters, from the table of the standard library."""
+    names = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _entities(text: Column) -> Column:
+    """Decode ``&eacute;``, ``&#233;`` and ``&#xe9;`` once, by splitting at the marker; no per-row Python."""
+    pieces, known = F.split(text, "&"), _named_entities()
 
     def decoded(piece: Column) -> Column:
-        code = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        digits = F.when(
-            F.lower(F.substring(code, 1, 1)) == "x",
-            F.conv(F.substring(code, 2, 7), 16, 10),
-        ).otherwise(code)
-        number = digits.try_cast("int")
-        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        rest = F.substr(piece, F.length(code) + 2)
-        return F.when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", 1)
+        number = F.when(
+            F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)
+        ).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(
+            F.startswith(name, F.lit("#")), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        ).when(name != "", F.try_element_at(known, name))
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
     tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
     joined = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def strip_blank(text: Column) -> Column:
@@ -61,10 +59,7 @@ def html_to_text(html: Column, limit: int | None = DESCRIPTION_CHARS) -> Column:
     for pattern in (SILENT_BLOCKS, COMMENTS, TAGS):
         text = F.regexp_replace(text, pattern, MARK)
     text = F.regexp_replace(text, MARK + "+", " ")
-    text = _numeric_entities(text)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = strip_blank(text)
+    text = strip_blank(_entities(text))
     if limit is not None:
         text = F.substring(text, 1, limit)
     return F.coalesce(text, F.lit(""))

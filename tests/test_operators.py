@@ -61,6 +61,9 @@ def test_names_and_text(spark):
     html = "<style>p{}</style><p>a<b>b</b></p>\n<p>c &amp; &eacute;&#233;&#xe9; &#8364;</p><script>'</p>'</script>"
     assert one(spark, html_to_text(F.col("v")), v=html) == "a b \n c & ééé €"
     assert one(spark, html_to_text(F.col("v").cast("string")), v=None) == ""
+    assert one(spark, html_to_text(F.col("v")), v="&Eacute;t&eacute; &auml; &ntilde; &pound;5") == "Été ä ñ £5"
+    assert one(spark, html_to_text(F.col("v")), v="&#38;lt;b &amp;amp; &no; & &#0; &#xD800;") == "&lt;b &amp; &no; & &#0; &#xD800;"
+    assert one(spark, html_to_text(F.col("v")), v="<a title=\"x>y\" b='>' c=1>t</a><i d=\">u</i> it's <3") == "t u  it's <3"
     assert one(spark, F.length(html_to_text(F.repeat(F.col("v"), 400))), v="<p>xyz</p>") == 500
 
 
