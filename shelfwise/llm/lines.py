@@ -13,24 +13,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfwise.llm.common import OWN, TAG, release, stage, tagged, text_or_empty
+from shelfwise.llm.common import OWN, TAG, release, shuffle_width, stage, tagged, text_or_empty
 from shelfwise.llm.components import components
 
-#: Characters whose shingles are hashed at once, and characters of a tile.
+#: Characters of a tile.
 CHARACTERS = 1 << 22
+#: Characters whose shingles are hashed at once; small enough for a core's cache.
+CHUNK = 1 << 16
 #: Lines of a tile of a bucket; two tiles are compared in one task.
 TILE = 1024
+#: Lines of a cell whose pairs are compared one by one, together with those of other cells.
+SMALL = 12
+#: Band keys of a range, about, and band keys grouped at once.
+RANGE_KEYS, PIECE = 1 << 20, 1 << 21
 RESULT = ("n_lines", "n_removed", "kept_sha256", "kept_text")
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_GOLDEN, _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shingle_codes(points: np.ndarray, size: int) -> np.ndarray:
-    """64-bit code of each run of ``size`` code points."""
-    rolled = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(1, size):
-        rolled = (rolled[:-1] ^ points[at:]) * _MIX
-        rolled ^= rolled >> np.uint64(31)
-    return rolled
+    """64-bit code of each run of ``size`` code points, made of the codes of its two halves."""
+    if size == 1:
+        return points.astype(np.uint64) * _GOLDEN
+    first = size - size // 2
+    left = shingle_codes(points, first)
+    right = left if first == size // 2 else shingle_codes(points, size // 2)
+    count = max(0, len(points) - size + 1)
+    codes = left[:count] * _MIX
+    codes ^= right[first : first + count]
+    codes *= _TURN
+    codes ^= codes >> np.uint64(31)
+    return codes
 
 
 def _points(text: str) -> np.ndarray:
@@ -43,21 +55,26 @@ def shingles(line: str, size: int) -> np.ndarray:
     return np.unique(shingle_codes(points, min(size, max(1, len(points)))))
 
 
+def _whole_shingles(lines: list[str], lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and code of every shingle of the lines that have at least ``size`` characters."""
+    points = _points("".join(lines))
+    codes = shingle_codes(points, size)
+    starts = np.ones(len(points), bool)
+    if len(codes):
+        ends = np.cumsum(lengths)
+        for k in range(1, size):  # a start this near to a line's end would run into the next line
+            starts[ends - k] = False
+    owner = np.repeat(np.arange(len(lines)), np.maximum(lengths - size + 1, 0))
+    return owner, codes[starts[: len(codes)]]
+
+
 def signatures(lines: list[str], size: int, bins: int) -> np.ndarray:
     """One-permutation MinHash: the least code in each bin; an empty bin borrows from the next one that is not."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     out = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
-    flat = out.ravel()
-    whole = np.flatnonzero(lengths >= size)
-    ends = np.cumsum(lengths)
-    points = _points("".join(lines))
-    if len(whole):
-        codes = shingle_codes(points, size)
-        count = lengths[whole] - size + 1
-        first = ends[whole] - lengths[whole]
-        at = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        codes = codes[at]
-        np.minimum.at(flat, np.repeat(whole, count) * bins + (codes >> np.uint64(40)).astype(np.int64) % bins, codes)
+    owner, codes = _whole_shingles(lines, lengths, size)
+    slot = (codes >> np.uint64(40)).astype(np.uint32) % np.uint32(bins)
+    np.minimum.at(out.ravel(), owner * bins + slot, codes)
     for i in np.flatnonzero(lengths < size):
         out[i, 0] = shingles(lines[i], size)[0] if lengths[i] else 0
     have = out != np.iinfo(np.uint64).max
@@ -71,72 +88,149 @@ def signatures(lines: list[str], size: int, bins: int) -> np.ndarray:
     return out
 
 
-def _band_keys(size: int, bands: int, rows: int):
-    """A row ``(key, lid)`` for each line and band."""
+def _chunks(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``most`` lines with about ``CHUNK`` characters; a longer line is a run of its own."""
+    at = 0
+    while at < len(lines):
+        upto, total = at, 0
+        while upto < len(lines) and upto < at + most and (upto == at or total + len(lines[upto]) <= CHUNK):
+            total += len(lines[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def _band_keys(size: int, bands: int, rows: int, ranges: int):
+    """Keys of each line and band with the line's number, packed by range of keys: ``(part, keys, lids)``."""
+    salt = np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lines = batch.column(batch.schema.get_field_index("line")).to_pylist()
             lids = batch.column(batch.schema.get_field_index("lid")).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(lines):
-                upto, total = at, 0
-                while upto < len(lines) and (upto == at or total + len(lines[upto]) <= CHARACTERS):
-                    total += len(lines[upto])
-                    upto += 1
+            keys = []
+            for at, upto in _chunks(lines, len(lines)):
                 signature = signatures(lines[at:upto], size, bands * rows).reshape(upto - at, bands, rows)
-                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (upto - at, bands))
+                key = np.broadcast_to(salt, (upto - at, bands))
                 for r in range(rows):
                     key = (key ^ signature[:, :, r]) * _MIX
                     key ^= key >> np.uint64(29)
-                columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(lids[at:upto], bands))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "lid"])
-                at = upto
+                keys.append(key.ravel())
+            key = np.concatenate(keys)
+            order = np.argsort(key)
+            key, lid = key[order], np.repeat(lids, bands)[order]
+            part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            offsets = pa.py_buffer((np.r_[first, len(key)] * 8).astype(np.int32).tobytes())
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (key, lid)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *packed], names=["part", "keys", "lids"])
 
     return run
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of buckets with company, with the bucket's first line; rows come sorted by key and line."""
-    held_key, held_lid, open_bucket = None, None, False
+class _Company:
+    """Buckets of one range of keys, fed in pieces.
+
+    Held are the range's distinct keys, each with the line it is compared with, never the
+    lines of a bucket: a bucket of any size passes through.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.pivot, self.out = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def add(self, keys: np.ndarray, lids: np.ndarray) -> pa.RecordBatch:
+        """Rows ``(key, lid, pivot)`` of buckets with company that the piece adds to."""
+        order = np.argsort(keys)
+        keys, lids = keys[order], lids[order]
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        key, count = keys[start], np.diff(np.r_[start, len(keys)])
+        pivot = np.minimum.reduceat(lids, start)
+        known = np.isin(key, self.keys, assume_unique=True)
+        shown = np.zeros(len(key), bool)
+        at = np.searchsorted(self.keys, key[known])
+        pivot[known], shown[known] = self.pivot[at], self.out[at]
+        company = known | (count > 1)
+        self.out[at] = True
+        place = np.searchsorted(self.keys, key[~known])
+        self.keys = np.insert(self.keys, place, key[~known])
+        self.pivot = np.insert(self.pivot, place, pivot[~known])
+        self.out = np.insert(self.out, place, company[~known])
+        of = np.repeat(pivot, count)
+        member = np.repeat(company, count) & (lids != of)
+        newly = company & ~shown
+        columns = ((keys[member].view(np.int64), key[newly].view(np.int64)), (lids[member], pivot[newly]), (of[member], pivot[newly]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "lid", "pivot"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets with company, with the line that the others are compared with; rows come sorted by range."""
+    range_now, company, held, size = None, None, [], 0
+
+    def flush() -> pa.RecordBatch:
+        return company.add(*(np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in enumerate((np.uint64, np.int64))))
+
     for batch in batches:
-        keys, lids = batch["key"].to_numpy(np.int64), batch["lid"].to_numpy(np.int64)
-        if not len(keys):
-            continue
-        goes_on = held_key is not None and keys[0] == held_key
-        first = np.r_[not goes_on, keys[1:] != keys[:-1]]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
-        pivot = np.where(start < 0, held_lid if held_lid is not None else 0, lids[np.maximum(start, 0)])
-        member = lids != pivot
-        out_key, out_lid, out_pivot = keys[member], lids[member], pivot[member]
-        own = np.unique(np.column_stack([out_key, out_pivot]), axis=0) if len(out_key) else np.empty((0, 2), np.int64)
-        if open_bucket and len(own):  # the pivot of a bucket that went on is already out
-            own = own[own[:, 0] != held_key]
-        yield pd.DataFrame(
-            {
-                "key": np.concatenate([out_key, own[:, 0]]),
-                "lid": np.concatenate([out_lid, own[:, 1]]),
-                "pivot": np.concatenate([out_pivot, own[:, 1]]),
-            }
-        )
-        last = keys[-1]
-        open_bucket = bool((out_key == last).any()) or (open_bucket and last == held_key)
-        held_key, held_lid = last, pivot[-1]
+        for part, keys, lids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if held and (part != range_now or size > PIECE):
+                yield flush()
+                held, size = [], 0
+            if part != range_now:
+                range_now, company = part, _Company()
+            held.append((keys, lids))
+            size += len(keys) // 8
+    if held:
+        yield flush()
+
+
+def _similar(x: list[str], y: list[str], size: int, similarity: float) -> np.ndarray:
+    """Whether the shingle sets of each pair of lines are similar; both lists are as long.
+
+    The sets of a chunk of pairs are sorted at once, 57 bits of a code below the pair's number.
+    """
+    out = np.empty(len(x), bool)
+    for at, upto in _chunks([a + b for a, b in zip(x, y)], 128):
+        sets = []
+        for side in (x[at:upto], y[at:upto]):
+            lengths = np.fromiter(map(len, side), np.int64, len(side))
+            owner, codes = _whole_shingles(side, lengths, size)
+            packed = [owner.astype(np.uint64) << np.uint64(57) | codes >> np.uint64(7)]
+            packed += [np.uint64(i << 57) | shingles(side[i], size) >> np.uint64(7) for i in np.flatnonzero(lengths < size)]
+            packed = np.sort(np.concatenate(packed))
+            sets.append(packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed)
+        merged = np.sort(np.concatenate(sets))
+        twice = merged[1:][merged[1:] == merged[:-1]] if len(merged) else merged
+        count = lambda z: np.bincount((z >> np.uint64(57)).astype(np.int64), minlength=upto - at)
+        both = count(twice)
+        out[at:upto] = both >= similarity * (count(sets[0]) + count(sets[1]) - both)
+    return out
 
 
 def _verify(size: int, similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["line_a"], batch["line_b"]):
-                a, b = shingles(x, size), shingles(y, size)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[_similar(batch["line_a"].tolist(), batch["line_b"].tolist(), size, similarity), ["a", "b"]]
 
     return run
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as the links ``(a, b)``, one for each node but the first of a component."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(values))
+    while len(a := a[left := label[a] != label[b]]):
+        b = b[left]
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (jumped := label[label]).tolist() != label.tolist():
+            label = jumped
+    moved = np.flatnonzero(label != np.arange(len(values)))
+    return values[label[moved]], values[moved]
+
+
 def _near_roots(roots: np.ndarray, lines: list[str], size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between the components of the lines that are similar, all pairs compared."""
     sets = [shingles(x, size) for x in lines]
@@ -156,20 +250,21 @@ def _near_roots(roots: np.ndarray, lines: list[str], size: int, similarity: floa
         has[who[first:last], column[first:last] - low] = 1
         both += has @ has.T
     both = both.astype(np.float64)
-    values, at = np.unique(roots, return_inverse=True)
     near = both >= similarity * (counts[:, None] + counts[None, :] - both)
     a, b = np.nonzero(np.triu(near, 1))
-    a, b = at[a], at[b]
-    label = np.arange(len(values))
-    while len(a := a[left := label[a] != label[b]]):
-        b = b[left]
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (jumped := label[label]).tolist() != label.tolist():
-            label = jumped
-    moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[label[moved]], values[moved]
+    return _spanning(roots[a], roots[b])
+
+
+def _near_roots_of_small(cells: np.ndarray, roots: np.ndarray, lines: list[str], size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the lines of many small cells, which come one cell after another."""
+    a, b = [], []
+    for apart in range(1, SMALL):
+        first = np.flatnonzero((cells[apart:] == cells[:-apart]) & (roots[apart:] != roots[:-apart]))
+        a.append(first)
+        b.append(first + apart)
+    a, b = np.concatenate(a), np.concatenate(b)
+    near = _similar([lines[i] for i in a], [lines[i] for i in b], size, similarity)
+    return _spanning(roots[a[near]], roots[b[near]])
 
 
 def _cell_links(size: int, similarity: float):
@@ -186,8 +281,11 @@ def _cell_links(size: int, similarity: float):
             if batch is not None:  # the last cell may go on in the next batch
                 held, bounds = rows.iloc[bounds[-2] :], bounds[:-1]
             roots, lines = rows["root"].to_numpy(np.int64), rows["line"].tolist()
-            found = [_near_roots(roots[i:j], lines[i:j], size, similarity) for i, j in zip(bounds[:-1], bounds[1:])]
-            if found:
+            if len(bounds) > 1:
+                many = np.diff(bounds) > SMALL
+                found = [_near_roots(roots[i:j], lines[i:j], size, similarity) for i, j in zip(bounds[:-1][many], bounds[1:][many])]
+                few = np.flatnonzero(np.repeat(~many, np.diff(bounds)))
+                found.append(_near_roots_of_small(cells[few], roots[few], [lines[i] for i in few], size, similarity))
                 a, b = (np.concatenate(x) for x in zip(*found))
                 yield pd.DataFrame({"a": a, "b": b})
 
@@ -235,15 +333,18 @@ def _cut(keep: list[str], with_text: bool):
 def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """Component of each line that has a near copy: ``(lid, root)``, from distinct ``(lid, line)``.
 
-    Every bucket of a band links its lines to its first one; linked pairs are compared
+    Keys are shuffled packed by ranges, as a row for each would cost more than the rest.
+    Every bucket of a band links its lines to one of them; linked pairs are compared
     shingle by shingle and the links that hold are united, so a large family of near copies
     costs a pair per line. Where a bucket still holds lines of different components, all of
     those are compared inside tasks, tile by tile, and only links that join components are
-    put out: no link inside a bucket is lost and no pairs are written.
+    put out: no link inside a bucket is lost and no pairs are written. Buckets of different
+    bands that hold the same lines are compared once; two 64-bit sums tell the sets apart.
     """
-    dealt = lines.select("line", "lid").mapInArrow(_band_keys(size, bands, rows), "key long, lid long")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "lid")
-    buckets = stage(dealt.mapInPandas(_buckets, "key long, lid long, pivot long"), "lines-buckets")
+    ranges = max(8 * shuffle_width(lines.sparkSession), -(-lines.count() * bands // RANGE_KEYS))
+    dealt = lines.select("line", "lid").mapInArrow(_band_keys(size, bands, rows, ranges), "part int, keys binary, lids binary")
+    dealt = dealt.repartition("part").sortWithinPartitions("part")
+    buckets = stage(dealt.mapInArrow(_buckets, "key long, lid long, pivot long"), "lines-buckets")
     texts = lines.join(buckets.select("lid").distinct(), "lid", "left_semi").select("lid", "line")
     texts = stage(texts, "lines-candidates")
 
@@ -257,12 +358,14 @@ def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, ro
     rooted = stage(rooted, "lines-rooted")
     release(texts)
     placed = buckets.select("key", "lid").join(rooted.select("lid", "root", F.length("line").alias("chars")), "lid")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), *[F.bit_xor(F.xxhash64("lid", F.lit(i))).alias(f"set_{i}") for i in (1, 2)])
     whole = parts.groupBy("key").agg(
-        F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
+        F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+        *[F.bit_xor(c).alias(c) for c in ("set_1", "set_2")],
     )
     tiles = lambda n, chars: F.greatest(F.ceil(n / TILE), F.ceil(chars / CHARACTERS)).cast("int")
-    mixed = whole.where("n > main.n").select(
+    mixed = whole.where("n > main.n").groupBy("n", "set_1", "set_2").agg(*[F.min_by(c, "key").alias(c) for c in ("main", "chars")], F.min("key").alias("key"))
+    mixed = mixed.select(
         "key",
         F.col("main.root").alias("main_root"),
         tiles(F.col("main.n"), F.col("main.chars")).alias("tm"),

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -550,3 +551,25 @@ def test_encoder_on_odd_texts():
     encoder = packing.Encoder(**{"path": queries.tokenizer()["tokenizer"], "pattern": queries.tokenizer()["pattern"]})
     for text in ("", "a" * 3000, " " * 500 + "x", "don't  stop\n\n  now ", "你好 ½²", "<|endoftext|>", "éè —“q”", "x\x1cy\x85z­"):
         assert array.array("I", encoder.ids(text)) == array.array("I", encoder.slow.encode(text, add_special_tokens=False).ids)
+
+
+def test_buckets_in_pieces_keep_all_company(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(58)
+    part = (keys >> np.uint64(63)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rows = [(int(part[i]), keys[i : i + 1].tobytes(), np.array([i], np.int64).tobytes()) for i in order]
+    rows.append((2, np.array([7 << 61], np.uint64).tobytes(), np.array([900], np.int64).tobytes()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 33])], names=["part", "keys", "lids"]) for i in range(0, len(rows), 33)]
+    for piece in (1, 20, 10_000):
+        monkeypatch.setattr(lines, "PIECE", piece)
+        found = pa.Table.from_batches(list(lines._buckets(iter(batches)))).to_pylist()
+        got, pivots = defaultdict(list), defaultdict(set)
+        for r in found:
+            got[r["key"]].append(r["lid"])
+            pivots[r["key"]].add(r["pivot"])
+        wanted = defaultdict(list)
+        for i, k in enumerate(keys.view(np.int64).tolist()):
+            wanted[k].append(i)
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in wanted.items() if len(v) > 1}
+        assert all(len(v) == 1 and v <= set(got[k]) for k, v in pivots.items())
