@@ -208,6 +208,20 @@ SELECT cluster_kmeans, n, CASE WHEN rating >= 4.5 AND prix > 100 THEN 'Premium p
   WHEN rating >= 4 AND nb_reviews > 500 THEN 'Bestseller' WHEN remise_pct > 20 THEN 'Produit en promo'
   WHEN prix < 30 THEN 'Entrée de gamme' ELSE 'Segment ' || cluster_kmeans END AS segment FROM profile""")
 
+_AXES = ("prix", "rating", "nb_reviews", "stock", "remise_pct", "ratio_qualite_prix")
+add("c3_silhouette", FEATURES + f""",
+z AS (
+  SELECT pk % 4 AS c, {", ".join(f"coalesce(({a} - min({a}) OVER ()) / nullif(max({a}) OVER () - min({a}) OVER (), 0), 0) AS x{i}" for i, a in enumerate(_AXES))}
+  FROM derived),
+totals AS (
+  SELECT c, count(*) AS n, {", ".join(f"sum(x{i}) AS s{i}, sum(x{i} * x{i}) AS q{i}" for i in range(6))} FROM z GROUP BY c),
+far AS (
+  SELECT {" + ".join(f"(t.n * x{i} * x{i} + q{i} - 2 * x{i} * s{i})" for i in range(6))} AS total, t.n, z.c = t.c AS own, z.rn
+  FROM (SELECT *, row_number() OVER () AS rn FROM z) z, totals t),
+near AS (
+  SELECT rn, max(total / (n - 1)) FILTER (own) AS a, min(total / n) FILTER (NOT own) AS b FROM far GROUP BY rn)""",
+    "SELECT (SELECT count(*) FROM totals) AS k, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM near")
+
 # ---- label, evaluation
 
 add("l1_target", SCORED, "SELECT uid, top_produit FROM enriched")
@@ -340,6 +354,10 @@ FROM good ORDER BY good.lift DESC, antecedent, consequent LIMIT 10""")
 
 # ---- scores and ranks
 
+add("t10_container_batch", PRODUCTS, """
+SELECT 'scored' AS output, count(*) AS n FROM products
+UNION ALL SELECT 'top_k', least(20, count(*)) FROM products UNION ALL SELECT 'metrics', 4""")
+
 add("t1_min_max", PRODUCTS, """
 SELECT uid, round((prix - min(prix) OVER ()) / (max(prix) OVER () - min(prix) OVER ()), 6) AS prix_01,
   0.0::DOUBLE AS constant_01 FROM products""")

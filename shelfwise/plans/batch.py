@@ -74,10 +74,18 @@ def run_container_batch(
 
 
 def registered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch job on the whole catalogue with fewer trees and rounds; counts per output."""
+    """The batch job on the whole catalogue; counts per output. Fold scores have a query of their own."""
     out = f"{work_dir(spark)}/shelfwise/{spark.sparkContext.applicationId}/batch"
-    small = classify.ModelSettings(forest_trees=20, boost_rounds=10)
-    made = run_batch(products(spark, sf_dir), out, settings=small, restarts=1, cv=False)
+    return _counts(run_batch(products(spark, sf_dir), out, cv=False))
+
+
+def registered_container_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container job on the whole catalogue; counts per output."""
+    out = f"{work_dir(spark)}/shelfwise/{spark.sparkContext.applicationId}/container"
+    return _counts(run_container_batch(products(spark, sf_dir), out))
+
+
+def _counts(made: dict[str, DataFrame]) -> DataFrame:
     counts = [
         made[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n") for name in made
     ]

@@ -441,7 +441,7 @@ def _(spark, d):
 def _(spark, d):
     given = views.features(spark, d).withColumn("cluster_kmeans", (F.col("product_id").cast("long") % 4).cast("int"))
     value = cluster.silhouette(cluster.assemble(given), "cluster_kmeans")
-    return given.agg(F.countDistinct("cluster_kmeans").alias("k")).withColumn("silhouette", F.lit(value))
+    return given.agg(F.countDistinct("cluster_kmeans").alias("k")).withColumn("silhouette", F.round(F.lit(value), 6))
 
 
 def _given_clusters(spark, d):
@@ -561,8 +561,14 @@ def _(spark, d):
 
 @query("l14_importance")
 def _(spark, d):
-    forest = classify.fit_forest(views.enriched(spark, d))
-    return classify.importance(forest)
+    """Of the boosted trees, fitted on the training part."""
+    return classify.importance(classify.fit_boosted(views.enriched(spark, d)))
+
+
+@query("l11_cross_validation")
+def _(spark, d):
+    """Weighted F1 over five stratified folds of the training part: mean and deviation of both models."""
+    return classify.metrics_table(spark, classify.cross_validated(views.enriched(spark, d)))
 
 
 def _judged(spark, d):
@@ -776,6 +782,11 @@ def _(spark, d):
     return batch.registered_run(spark, d)
 
 
+@query("t10_container_batch")
+def _(spark, d):
+    return batch.registered_container_run(spark, d)
+
+
 # ---- dashboard ---------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ WORDS = ("nova", "terra", "lumen", "atlas", "prisme", "delta", "orion", "zenith"
 COUNTRIES = ("France", "Belgique", "Suisse", "Canada", "Maroc", "Tunisie")
 # Fixed values of the small demonstration catalogue.
 DEMO_CATEGORIES = ("Footwear", "Apparel", "Accessories", "Socks", "Care", "Kids")
-DEMO_SHOPS = ("allbirds.com", "gymshark.com")
+DEMO_SHOPS = ("prisme.example", "delta.example")
 DEMO_BRANDS = ("BrandA", "BrandB", "BrandC")
 DEMO_DISCOUNTS = (0.0, 0.0, 0.0, 10.0, 15.0, 20.0, 25.0, 30.0, 40.0)
 
