@@ -36,6 +36,92 @@ def _permits(asked: dict[tuple[int, int], int], loads: list[int], quota: int) ->
     return [out.get((a, b), 0) for a in range(shards) for b in range(shards)]
 
 
+def _moved(cells: DataFrame, moves: DataFrame) -> DataFrame:
+    changed = (
+        cells.union(moves.select("link", "shard", (-F.col("moved")).alias("n")))
+        .union(moves.select("link", F.col("to").alias("shard"), F.col("moved").alias("n")))
+        .groupBy("link", "shard")
+        .agg(F.sum("n").alias("n"))
+        .where("n > 0")
+    )
+    return stage(changed, "shard-cells")
+
+
+def _whole_links(links: DataFrame, room: list[tuple[int, int, int]], shards: int) -> DataFrame:
+    """Deals links ``(link, shard, n)`` whole to the rooms ``(shard, to, n)`` of their shard, the smallest first: ``(link, shard, to, n)``."""
+    spans, ends = [], [0] * (shards + 1)
+    for shard, to, n in sorted(room):
+        spans.append((shard, to, ends[shard], ends[shard] + n))
+        ends[shard] += n
+    rooms = F.broadcast(links.sparkSession.createDataFrame(spans, "shard int, to int, low long, high long"))
+    largest = rooms.groupBy("shard").agg(F.max(F.col("high") - F.col("low")).alias("largest"))
+    fitting = links.join(F.broadcast(largest), "shard").where("n <= largest").select("link", "shard", "n")
+    queued = running_total(fitting, ["shard", "n", "link"], ["n"], "shard-whole")
+    bases = queued.groupBy("shard").agg(F.min("before_n").alias("base"))
+    queued_at = queued.join(bases, "shard").withColumn("at", F.col("before_n") - F.col("base"))
+    dealt = queued_at.join(rooms, "shard").where((F.col("at") >= F.col("low")) & (F.col("at") + F.col("n") <= F.col("high")))
+    dealt = stage(dealt.select("link", "shard", "to", "n"), "shard-dealt")
+    release(queued)
+    return dealt
+
+
+def _links(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("link").agg(F.max("shard").alias("shard"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+
+
+def _step(cells: DataFrame, shards: int, quota: int, targets: list[int]) -> tuple[DataFrame, bool, set[int]]:
+    """Moves cells to their link's fullest open cell in ``targets``; whether any moved, and shards that can't take all who ask."""
+    loads = _loads(cells, shards)
+    open_cells = cells.where(F.col("n") < quota)
+    best = open_cells.where(F.col("shard").isin(targets)).groupBy("link").agg(
+        F.max(F.struct("n", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("best")
+    )
+    wishes = open_cells.join(best.select("link", F.col("best.shard").alias("to"), F.col("best.n").alias("there")), "link")
+    wishes = stage(wishes.where("shard <> to and n <= there").select("link", "shard", "to", "there", "n"), "shard-wishes")
+    asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+    permits = _permits(asked, loads, quota)
+    unmet = {(a, to): n - permits[a * shards + to] for (a, to), n in asked.items() if n > permits[a * shards + to]}
+    yields = None
+    if unmet:
+        whole = _links(cells).where((F.col("parts") == 1) & (F.col("n") < quota))
+        yields = _whole_links(whole, [(to, a, n) for (a, to), n in unmet.items()], shards)
+        for r in yields.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():
+            permits[r["to"] * shards + r["shard"]] += r["n"]
+            unmet[r["to"], r["shard"]] -= r["n"]
+    full = {to for (_, to), n in unmet.items() if n > 0}
+    if any(permits):
+        permit = F.get(F.array(*[F.lit(n) for n in permits]), F.col("shard") * shards + F.col("to"))
+        queued = running_total(wishes, ["shard", "to", F.desc("there"), "link"], ["n"], "shard-queues")
+        bases = queued.groupBy("shard", "to").agg(F.min("before_n").alias("base"))
+        fits = permit - (F.col("before_n") - F.col("base"))
+        moves = queued.join(bases, ["shard", "to"]).withColumn("moved", F.greatest(F.lit(0), F.least("n", fits)).cast("long"))
+        moves = moves.where("moved > 0").select("link", "shard", "to", "moved")
+        after = _moved(cells, moves if yields is None else moves.union(yields))
+        release(queued)
+        release(cells)
+    else:
+        after = cells
+    release(wishes)
+    release(yields)
+    return after, any(permits), full
+
+
+def _together(cells: DataFrame, shards: int, quota: int) -> tuple[DataFrame, bool]:
+    """Moves links that are still apart whole to a shard that has room for all of their rows."""
+    room = [(0, s, quota - n) for s, n in enumerate(_loads(cells, shards)) if n < quota]
+    apart = _links(cells).where("parts > 1").select("link", F.lit(0).alias("shard"), "n")
+    if not room or apart.where(F.col("n") <= max(n for _, _, n in room)).isEmpty():
+        return cells, False
+    dealt = _whole_links(apart, room, shards)
+    moves = cells.withColumnRenamed("n", "moved").join(dealt.select("link", "to"), "link").where("shard <> to")
+    any_dealt = not dealt.isEmpty()
+    after = _moved(cells, moves.select("link", "shard", "to", "moved")) if any_dealt else cells
+    release(dealt)
+    if any_dealt:
+        release(cells)
+    return after, any_dealt
+
+
 def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """Moves linked documents towards the shard where most of their neighbours are.
 
@@ -44,37 +130,24 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
     histogram and asks to move to the fullest shard that the link does not fill alone. From
     one shard to another as many rows may move as move back, and beyond that what the
     other's quota leaves; requests with most neighbours waiting go first and the last one
-    may be cut. Rounds end when nothing moves.
+    may be cut. For requests still unmet, links that lie whole in the wanted shard give way:
+    they change places, whole, with as many of the rows that ask. A shard that can't take all
+    who ask is no choice for the rest of the round, and cells ask for their link's fullest
+    shard among the others. At last links still apart go together where a shard has room for
+    all their rows. Every move but those of whole links is to a cell at least as full, so the
+    sum of the squares of ``n`` grows. Rounds end when no choice of any link is permitted.
     """
     for _ in range(rounds):
-        loads = _loads(cells, shards)
-        open_cells = cells.where(F.col("n") < quota)
-        best = open_cells.groupBy("link").agg(
-            F.max(F.struct("n", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("best")
-        )
-        wishes = open_cells.join(best.select("link", F.col("best.shard").alias("to"), F.col("best.n").alias("there")), "link")
-        wishes = stage(wishes.where("shard <> to").select("link", "shard", "to", "there", "n"), "shard-wishes")
-        asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
-        permits = _permits(asked, loads, quota)
-        if not any(permits):
+        moved, targets = False, set(range(shards))
+        while targets:
+            cells, more, full = _step(cells, shards, quota, sorted(targets))
+            moved |= more
+            if not full:
+                break
+            targets -= full
+        cells, more = _together(cells, shards, quota)
+        if not (moved or more):
             break
-        permit = F.get(F.array(*[F.lit(n) for n in permits]), F.col("shard") * shards + F.col("to"))
-        queued = running_total(wishes, ["shard", "to", F.desc("there"), "link"], ["n"], "shard-queues")
-        bases = queued.groupBy("shard", "to").agg(F.min("before_n").alias("base"))
-        fits = permit - (F.col("before_n") - F.col("base"))
-        moves = queued.join(bases, ["shard", "to"]).withColumn("moved", F.greatest(F.lit(0), F.least("n", fits)).cast("long"))
-        moves = moves.where("moved > 0")
-        changed = (
-            cells.union(moves.select("link", "shard", (-F.col("moved")).alias("n")))
-            .union(moves.select("link", F.col("to").alias("shard"), F.col("moved").alias("n")))
-            .groupBy("link", "shard")
-            .agg(F.sum("n").alias("n"))
-            .where("n > 0")
-        )
-        after = stage(changed, "shard-cells")
-        for old in (queued, wishes, cells):
-            release(old)
-        cells = after
     return cells
 
 

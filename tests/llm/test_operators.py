@@ -271,6 +271,20 @@ def test_shards_of_large_groups(spark, copies):
     assert 2 * apart <= scattered or apart <= 2
 
 
+def test_shards_of_a_hot_group_beside_many_pairs(spark):
+    texts = ["hot"] * 10_000
+    for i in range(2_000):
+        texts += [f"text {i}"] * (2 + i % 2)
+    texts += [f"free {i}" for i in range(30_000 - len(texts))]
+    found = sharding.even_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check_shards(found, 8)
+    where = defaultdict(set)
+    for r in found:
+        where[r["text"]].add(r["shard"])
+    assert len(where["hot"]) == 3
+    assert all(len(s) == 1 for text, s in where.items() if text != "hot")
+
+
 def test_shards_awkward(awkward, empty):
     check_shards(sharding.even_shards(awkward).collect(), 8)
     assert sharding.even_shards(empty).count() == 0
