@@ -74,9 +74,9 @@ def run_container_batch(
 
 
 def registered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch job on the whole catalogue; counts per output. Fold scores have a query of their own."""
+    """The batch job on the whole catalogue; counts per output."""
     out = f"{work_dir(spark)}/shelfwise/{spark.sparkContext.applicationId}/batch"
-    return _counts(run_batch(products(spark, sf_dir), out, cv=False))
+    return _counts(run_batch(products(spark, sf_dir), out))
 
 
 def registered_container_run(spark: SparkSession, sf_dir: str) -> DataFrame:

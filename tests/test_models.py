@@ -140,6 +140,23 @@ def test_batch_jobs(spark, tmp_path):
     assert metrics["nb_products"] == 300 and metrics["nb_top_products"] >= 90
 
 
+def test_registered_batch_computes_fold_scores(spark, small, monkeypatch):
+    asked, run = {}, batch.run_batch
+    monkeypatch.setattr(batch, "_counts", lambda made: made["metrics"])
+    monkeypatch.setattr(
+        batch, "run_batch",
+        lambda catalogue, out, **how: asked.update(how) or run(generators.demo_catalogue(spark, 300), out, settings=LIGHT, restarts=1, **how),
+    )
+    found = {(r["model"], r["metric"]): r["value"] for r in batch.registered_run(spark, small).collect()}
+    assert "settings" not in asked and "restarts" not in asked
+    assert all(0 < found[model, "cv_mean"] <= 1 and (model, "cv_std") in found for model in ("random_forest", "xgboost"))
+
+
+def test_no_fold_scores_among_metrics_without_folds(spark):
+    results, _, _ = classify.train_and_evaluate(build_features(generators.demo_catalogue(spark, 300)), LIGHT, cv=False)
+    assert all(set(results[name]) == {"accuracy", "f1"} for name in ("random_forest", "xgboost"))
+
+
 def test_scores_do_not_depend_on_partitions(spark, small):
     from shelfwise.operators.scoring import composite_score
     from shelfwise.sources.offers import products
