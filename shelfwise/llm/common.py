@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from shelfwise.session import work_dir
 from shelfwise.sources.landing import file_system
@@ -74,7 +74,10 @@ def arrow_type(kind: DataType) -> pa.DataType:
     """Arrow type of the few types that operators compute."""
     if isinstance(kind, ArrayType):
         return pa.list_(arrow_type(kind.elementType))
-    return {LongType: pa.int64(), IntegerType: pa.int32(), DoubleType: pa.float64()}[type(kind)]
+    if isinstance(kind, StructType):
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind.fields])
+    simple = {LongType: pa.int64(), IntegerType: pa.int32(), DoubleType: pa.float64(), StringType: pa.string(), BinaryType: pa.binary()}
+    return simple[type(kind)]
 
 
 def map_batches(

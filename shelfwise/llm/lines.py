@@ -11,9 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField
 
-from shelfwise.llm.common import OWN, TAG, release, shuffle_width, stage, tagged, text_or_empty
+from shelfwise.llm.common import OWN, TAG, map_batches, release, shuffle_width, stage, tagged, text_or_empty
 from shelfwise.llm.components import components
 
 #: Characters of a tile.
@@ -312,22 +312,18 @@ def _cells(members: DataFrame, mixed: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.when(F.col("main"), as_main).otherwise(as_other)).alias("cell"), "root", "line")
 
 
-def _cut(keep: list[str], with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, gone in zip(batch[f"{OWN}text"], batch["gone"]):
-                parts = text.split("\n")
-                drop = set(gone) if gone is not None else set()
-                left = "\n".join(p for i, p in enumerate(parts) if i not in drop)
-                rows.append((len(parts), len(drop), hashlib.sha256(left.encode("utf-8", "replace")).hexdigest(), left))
-            out = batch[keep].reset_index(drop=True)
-            for i, name in enumerate(RESULT):
-                if name != "kept_text" or with_text:
-                    out[f"{OWN}{name}"] = [r[i] for r in rows]
-            yield out
+def _cut(with_text: bool):
+    def work(batch: pa.RecordBatch) -> list[list]:
+        rows = []
+        texts, gone_of = (batch.column(batch.schema.get_field_index(n)) for n in (f"{OWN}text", "gone"))
+        for text, gone in zip(texts, gone_of):
+            parts, drop = text.as_py().split("\n"), set(gone.as_py() or ())
+            left = "\n".join(p for i, p in enumerate(parts) if i not in drop)
+            made = (len(parts), len(drop), hashlib.sha256(left.encode("utf-8", "replace")).hexdigest())
+            rows.append((*made, left) if with_text else made)
+        return [[r[i] for r in rows] for i in range(4 if with_text else 3)]
 
-    return run
+    return work
 
 
 def similar_lines(lines: DataFrame, size: int, similarity: float, bands: int, rows: int) -> DataFrame:
@@ -428,6 +424,6 @@ def without_similar_lines(
     made = [("n_lines", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())]
     made += [("kept_text", StringType())] * with_text
     fields = [StructField(f"{OWN}{n}", t, False) for n, t in made]
-    schema = StructType([docs_rows.schema[k] for k in names] + fields)
-    out = docs_rows.join(gone, TAG, "left").mapInPandas(_cut(names, with_text), schema)
+    # Kept columns stay in Arrow: pandas would round long ids beside a null.
+    out = map_batches(docs_rows.join(gone, TAG, "left"), names, fields, _cut(with_text))
     return out.select(*names, *[F.col(f.name).alias(f.name.removeprefix(OWN)) for f in fields])

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
@@ -76,13 +77,14 @@ def token_pieces(
     ]
     if with_ids:
         fields.append(StructField(f"{OWN}ids", BinaryType(), False))
+    names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, pattern)
         for batch in batches:
             row, start, size, crc, total, parts = [], [], [], [], [], []
-            for i, t in enumerate(batch[f"{OWN}text"]):
-                ids = array.array("I", encoder.ids(t))
+            for i, t in enumerate(batch.column(batch.schema.get_field_index(f"{OWN}text"))):
+                ids = array.array("I", encoder.ids(t.as_py()))
                 ids.append(end_id)
                 raw = memoryview(np.asarray(ids, "<u4").tobytes())
                 for at in range(0, len(ids), length):
@@ -94,15 +96,17 @@ def token_pieces(
                     total.append(len(ids))
                     if with_ids:
                         parts.append(bytes(piece))
-            out = batch[keep].iloc[row].reset_index(drop=True)
-            out[f"{OWN}start"], out[f"{OWN}length"], out[f"{OWN}crc"], out[f"{OWN}tokens"] = start, size, crc, total
-            out[f"{OWN}loss"] = np.asarray(size, np.int64) - (np.asarray(start, np.int64) == 0)
+            # Kept columns stay in Arrow: pandas would round long ids beside a null.
+            at = pa.array(row, pa.int64())
+            arrays = [batch.column(batch.schema.get_field_index(k)).take(at) for k in keep]
+            loss = np.asarray(size, np.int64) - (np.asarray(start, np.int64) == 0)
+            arrays += [pa.array(x, pa.int64()) for x in (start, size, crc, total, loss)]
             if with_ids:
-                out[f"{OWN}ids"] = parts
-            yield out
+                arrays.append(pa.array(parts, pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     wanted = docs.select(*keep, text_or_empty(text).alias(f"{OWN}text"))
-    return wanted.mapInPandas(run, StructType(fields))
+    return wanted.mapInArrow(run, StructType(fields))
 
 
 def dot_product_bins(sizes: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:

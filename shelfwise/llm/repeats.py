@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from shelfwise.llm.common import OWN, TAG, release, running_total, stage, tagged, text_or_empty
+from shelfwise.llm.common import OWN, TAG, map_batches, release, running_total, stage, tagged, text_or_empty
 
 #: Bytes of a text that are sampled at once; longer texts are sampled in overlapping pieces.
 SEGMENT = 1 << 20
@@ -211,28 +212,25 @@ def merged_spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndar
     return low[first], np.append(high[first[1:] - 1], high[-1])
 
 
-def _cut(keep: list[str], with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, pairs in zip(batch[f"{OWN}text"], batch["spans"]):
-                raw = text.encode("utf-8", "replace")
-                spans, left = [], raw
-                if pairs is not None and len(pairs):
-                    low, high = merged_spans(
-                        np.array([p["low"] for p in pairs], np.int64), np.array([p["high"] for p in pairs], np.int64)
-                    )
-                    edges = [0, *np.column_stack([low, high]).ravel().tolist(), len(raw)]
-                    left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    spans = [{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist())]
-                rows.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), spans, left))
-            out = batch[keep].reset_index(drop=True)
-            for i, name in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")):
-                if name not in ("spans", "kept_text") or with_text:
-                    out[f"{OWN}{name}"] = [r[i] for r in rows]
-            yield out
+def _cut(with_text: bool):
+    def work(batch: pa.RecordBatch) -> list[list]:
+        rows = []
+        texts, spans_of = (batch.column(batch.schema.get_field_index(n)) for n in (f"{OWN}text", "spans"))
+        for text, pairs in zip(texts, spans_of):
+            raw, pairs = text.as_py().encode("utf-8", "replace"), pairs.as_py()
+            spans, left = [], raw
+            if pairs:
+                low, high = merged_spans(
+                    np.array([p["low"] for p in pairs], np.int64), np.array([p["high"] for p in pairs], np.int64)
+                )
+                edges = [0, *np.column_stack([low, high]).ravel().tolist(), len(raw)]
+                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                spans = [{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist())]
+            made = (len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+            rows.append((*made, spans, left) if with_text else made)
+        return [[r[i] for r in rows] for i in range(6 if with_text else 4)]
 
-    return run
+    return work
 
 
 def without_repeats(
@@ -294,6 +292,6 @@ def without_repeats(
 
         pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
         fields += [StructField(f"{OWN}spans", ArrayType(pair)), StructField(f"{OWN}kept_text", BinaryType())]
-    schema = StructType([rows.schema[k] for k in names] + fields)
-    out = rows.join(spans, TAG, "left").mapInPandas(_cut(names, with_text), schema)
+    # Kept columns stay in Arrow: pandas would round long ids beside a null.
+    out = map_batches(rows.join(spans, TAG, "left"), names, fields, _cut(with_text))
     return out.select(*names, *[F.col(f.name).alias(f.name.removeprefix(OWN)) for f in fields])

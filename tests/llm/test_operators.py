@@ -548,6 +548,15 @@ def test_packing_awkward(spark, awkward, empty):
     assert packing.pack(empty, **queries.tokenizer()).count() == 0
 
 
+def test_long_ids_beside_a_null_keep_every_digit(spark):
+    ids = [2**60 + 1, 2**60 + 3, None]
+    docs = spark.createDataFrame([(i, f"text {i} ", i) for i in ids], "doc_id long, text string, other long").coalesce(1)
+    packed = packing.pack(docs, keep=["other"], **queries.tokenizer()).collect()
+    found = [packed, repeats.without_repeats(docs, keep=["doc_id", "other"]).collect(), lines.without_similar_lines(docs, keep=["doc_id", "other"]).collect()]
+    for rows in found:
+        assert {(r["doc_id"], r["other"]) for r in rows} == {(i, i) for i in ids}
+
+
 def test_dot_product_limits():
     rng = np.random.default_rng(6)
     sizes, loss = rng.integers(1, 200, 500), rng.integers(0, 150, 500)
