@@ -399,7 +399,7 @@ def without_similar_lines(
     hundred times, equal lines never). Of each component the first line stays, by document
     id, then row, then place; the others are removed.
 
-    Blank lines always stay. A line shorter than a shingle is only linked to equal lines.
+    Blank lines always stay, also those of tabs or carriage returns. A line shorter than a shingle is only linked to equal lines.
     Null text counts as empty and has one blank line. A null id comes first. Repeated rows
     are documents of their own. An empty table gives an empty result. A column with the
     name of a result column gives way to it.
@@ -408,7 +408,7 @@ def without_similar_lines(
     own = docs.select(*names, F.col(doc_id).cast("long").alias(f"{OWN}id"), text_or_empty(text).alias(f"{OWN}text"))
     docs_rows = stage(tagged(own), "lines-docs")
     pieces = docs_rows.select(TAG, f"{OWN}id", F.posexplode(F.split(f"{OWN}text", "\n", -1)).alias("place", "line"))
-    pieces = pieces.where(F.length(F.trim("line")) > 0)
+    pieces = pieces.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     digest = F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest")
     distinct = tagged(pieces.select("line").distinct()).select(F.col(TAG).alias("lid"), digest, "line")
     distinct = stage(distinct, "lines-distinct")

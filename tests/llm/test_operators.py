@@ -453,6 +453,13 @@ def test_lines_awkward(spark, awkward, empty):
     assert got == {1: near, 2: "", 3: "a\nb", 4: near[:50]}
 
 
+def test_blank_lines_of_crlf_texts_stay(spark):
+    text = "one line of a text\r\n\r\nanother that differs\r\n\r\n\t\r\n\t\r\nthe last of them"
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lines.without_similar_lines(docs, with_text=True).collect()}
+    assert rows[1]["kept_text"] == text and rows[2]["kept_text"] == "\r\n\r\n\t\r\n\t\r"
+
+
 @pytest.mark.parametrize("tile", [1024, 5])
 def test_families_of_near_lines_keep_every_link(spark, monkeypatch, tile):
     monkeypatch.setattr(lines, "TILE", tile)
