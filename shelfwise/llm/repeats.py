@@ -1,4 +1,4 @@
-"""Suffix-array deduplication: long byte strings that start more than once, by sampled prefix doubling."""
+"""Suffix-array deduplication: long byte strings that start more than once, by sampled digests in place of prefix doubling."""
 
 from __future__ import annotations
 
@@ -171,9 +171,9 @@ _NODES = "xid long, node long, rank long, weight long, open boolean, k1 long, k2
 def repeated_starts(contexts: DataFrame, length: int, gram: int, steps: tuple[int, ...]) -> DataFrame:
     """Runs of window starts whose string occurs elsewhere: ``(xid, low, high)`` before the anchor.
 
-    Prefix doubling over runs of start positions: a run's rank stands for the string that all
-    its windows share. Each round cuts the surviving runs, joins the rank so far with the
-    longer string now shared, sorts these pairs over the cluster and ranks them anew. Runs
+    A run's rank stands for the string that all its windows share. Each round cuts the
+    surviving runs and ranks them anew by the digest of the longer string now shared, sorted
+    over the cluster; no rank at another offset is joined, so nothing doubles. Runs
     whose pair is unique hold no repeated window and are dropped; runs whose whole extent
     occurs twice are done. The last round's strings are the windows themselves.
     """
@@ -251,7 +251,7 @@ def without_repeats(
     Positions are sampled first: every window has one anchor, chosen by its bytes, so only
     windows whose anchor's gram occurs twice can repeat. Anchors whose whole surroundings
     (all windows they stand for) occur twice are decided at once; what differs on one side
-    goes through rounds of prefix doubling over runs of starts (``repeated_starts``). Equal
+    goes through rounds of digests over runs of starts (``repeated_starts``). Equal
     surroundings are one row there, so a passage shared by many documents costs its edges.
 
     Null text counts as empty. Texts shorter than ``length`` lose nothing; strings never
