@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import exact, lines, mixing, neighbours, packing, repeats, sharding, simhash, toxicity, warc
+from shelfwise.llm import (
+    bestfit, dialogue, exact, lines, mixing, neighbours, packing, repeats, sharding, simhash, spelling, toxicity, warc,
+)
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +64,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024, **tokenizer())
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(table(spark, sf_dir, "documents"), length=1024, end_id=2, **tokenizer())
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spell = partial(spelling.slipped, slip=199)
+    return spelling.variants(table(spark, sf_dir, "documents"), shortest=6, least=5, ratio=5, spell=spell)
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(turns), every=turns)
+
+
 REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_repeats, op3_warc, op4_sharding, op5_toxicity,
         op6_exact, op7_neighbours, op8_mixing, op9_lines, op10_packing,
+        op11_best_fit, op12_spelling, op13_dialogue,
     )
 }
 
