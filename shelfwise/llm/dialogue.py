@@ -227,8 +227,8 @@ def _run_fields(conv: StructField) -> list[StructField]:
 class _Run:
     """Turns of one conversation that follow each other in a task."""
 
-    def __init__(self, conv, part: int, after_border: bool):
-        self.conv, self.part, self.border = conv, part, after_border
+    def __init__(self, conv, part: int, after_border: bool, most: int):
+        self.conv, self.part, self.border, self.most = conv, part, after_border, most
         self.counts = dict.fromkeys(_COUNTS, 0)
         self.first_turn = self.last_turn = self.first = self.last = None
         self.codes: list[str] = []
@@ -252,7 +252,7 @@ class _Run:
         if not self.border:
             self.held.append((role, text))
             self.bytes += len(text)
-            if self.bytes > HELD:
+            if self.bytes > self.most:
                 self.border, self.held = True, []
 
     def row(self, border: bool) -> tuple:
@@ -293,14 +293,14 @@ def _batches(rows: Iterator[tuple], fields: list[StructField], size: int = 2_000
         yield made(some)
 
 
-def _find_runs(fields: list[StructField], names: list[str]):
+def _find_runs(fields: list[StructField], names: list[str], held: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         part, run, first = TaskContext.get().partitionId(), None, True
         for conv, turn, kind, code, fault, role, text in _rows(batches, names):
             if run is None or conv != run.conv:
                 if run is not None:
                     yield run.row(border=False)
-                run, first = _Run(conv, part, first), False
+                run, first = _Run(conv, part, first, held), False
             run.add(turn, kind, code, fault, role, text)
         if run is not None:
             yield run.row(border=True)
@@ -383,7 +383,7 @@ def marked_turns(turns: DataFrame, conv_id: str, turn: str, role: str, text: str
 
 def repair(
     turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    every: DataFrame | None = None,
+    every: DataFrame | None = None, held: int = HELD,
 ) -> DataFrame:
     """Audit and repaired hash of each conversation.
 
@@ -410,7 +410,7 @@ def repair(
     names = [f"{OWN}{n}" for n in ("conv", "turn", "class", "code", "fault", "role", "text")]
     fields = _run_fields(conv)
     ordered = marked.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select(*names)
-    runs = stage(ordered.mapInArrow(_find_runs(fields, names), StructType(fields)), "dialogue-runs")
+    runs = stage(ordered.mapInArrow(_find_runs(fields, names, held), StructType(fields)), "dialogue-runs")
 
     columns = [f"{OWN}conv", *_COUNTS, "first_turn", "last_turn", "cost", "audit"]
     done = runs.where("moves IS NULL").select(*columns, "sha")
