@@ -222,6 +222,33 @@ near AS (
   SELECT rn, max(total / (n - 1)) FILTER (own) AS a, min(total / n) FILTER (NOT own) AS b FROM far GROUP BY rn)""",
     "SELECT (SELECT count(*) FROM totals) AS k, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM near")
 
+_VECTORS = FEATURES + f""",
+z AS (
+  SELECT uid, pk % 4 AS c, {", ".join(f"coalesce(({a} - min({a}) OVER ()) / nullif(max({a}) OVER () - min({a}) OVER (), 0), 0)::DOUBLE AS x{i}" for i, a in enumerate(_AXES))}
+  FROM derived)"""
+_GAP = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(6))
+add("c3_silhouette_sample", _VECTORS + f""",
+s AS (SELECT * FROM z ORDER BY md5(uid), uid LIMIT 2000),
+far AS (
+  SELECT a.uid, a.c, b.c AS other, sum(sqrt({_GAP})) AS total, count(*) AS n FROM s a, s b GROUP BY ALL),
+near AS (
+  SELECT uid, max(CASE WHEN n > 1 THEN total / (n - 1) END) FILTER (c = other) AS a, min(total / n) FILTER (c <> other) AS b
+  FROM far GROUP BY uid)""",
+    "SELECT count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM near")
+# Vectors with their weights meet in cells of side eps on three axes; the others are compared.
+_CELLS = ", ".join(f"CAST(floor(x{i} / 0.15) AS BIGINT) AS k{i}" for i in (0, 1, 4))
+_MOVES = "(VALUES (-1), (0), (1)) d0(m0), (VALUES (-1), (0), (1)) d1(m1), (VALUES (-1), (0), (1)) d4(m4)"
+add("c6_outliers", _VECTORS + f""",
+v AS (SELECT row_number() OVER () AS id, count(*) AS w, x0, x1, x2, x3, x4, x5, {_CELLS} FROM z GROUP BY ALL),
+near AS MATERIALIZED (
+  SELECT a.id, b.id AS other, b.w FROM (SELECT v.*, k0 + m0 AS j0, k1 + m1 AS j1, k4 + m4 AS j4 FROM v, {_MOVES}) a
+  JOIN v b ON b.k0 = a.j0 AND b.k1 = a.j1 AND b.k4 = a.j4
+  WHERE abs(a.x2 - b.x2) <= 0.15 AND abs(a.x3 - b.x3) <= 0.15 AND abs(a.x5 - b.x5) <= 0.15 AND {_GAP} <= 0.15::DOUBLE * 0.15::DOUBLE),
+core AS (SELECT id FROM near GROUP BY id HAVING sum(w) >= 5),
+reached AS (SELECT DISTINCT near.id FROM near JOIN core ON near.other = core.id)""", """
+SELECT z.uid, CASE WHEN reached.id IS NULL THEN 1 ELSE 0 END AS is_anomalie
+FROM z JOIN v USING (x0, x1, x2, x3, x4, x5) LEFT JOIN reached ON reached.id = v.id""")
+
 # ---- label, evaluation
 
 add("l1_target", SCORED, "SELECT uid, top_produit FROM enriched")
@@ -243,7 +270,7 @@ SELECT uid, prix, remise_pct,
   (dense_rank() OVER (ORDER BY categorie) - 1)::DOUBLE AS categorie_enc,
   (dense_rank() OVER (ORDER BY source) - 1)::DOUBLE AS source_enc FROM derived""")
 add("l6_single_class", PRODUCTS, """
-SELECT 1 AS classes, count(*) AS n, 0.0::DOUBLE AS accuracy, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS cv_mean,
+SELECT 1 AS classes, count(*) AS n, 0 AS models, 0.0::DOUBLE AS accuracy, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS cv_mean,
   0.0::DOUBLE AS cv_std FROM products""")
 add("l7_split", SCORED + """,
 sizes AS (SELECT top_produit, count(*) AS n FROM enriched GROUP BY 1),

@@ -13,10 +13,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.components import components
+from shelfwise.operators.encode import numbered
 from shelfwise.operators.quantiles import scalars
 from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise, width
 
@@ -76,18 +77,18 @@ class Grid:
         return F.floor(self.index(cell, i) / self.parts)
 
     def boxes(self, rows: DataFrame, *keys: str) -> DataFrame:
-        """Row count and tight box per key; partial aggregates absorb hot cells."""
-        aggs = [F.count("*").alias("n")]
+        """Row count (``w`` rows per vector) and tight box per key; partial aggregates absorb hot cells."""
+        aggs = [F.sum("w").alias("n")]
         for i, f in enumerate(self.features):
             aggs += [F.min(f).alias(f"lo{i}"), F.max(f).alias(f"hi{i}")]
         return rows.groupBy(*keys).agg(*aggs)
 
     def points(self, rows: DataFrame) -> DataFrame:
-        """Rows as boxes without extent."""
-        columns = {"n": F.lit(1).cast("long")}
+        """Vectors as boxes without extent."""
+        columns = {"n": F.col("w")}
         for i, f in enumerate(self.features):
             columns |= {f"lo{i}": F.col(f), f"hi{i}": F.col(f)}
-        return rows.withColumns(columns).drop(*self.features)
+        return rows.withColumns(columns).drop("w", *self.features)
 
     def box_columns(self, prefix: str = "") -> list[str]:
         return [f"{prefix}{end}{i}" for i in range(self.dims) for end in ("lo", "hi")]
@@ -232,11 +233,11 @@ def _count_within(
     on = ["cell"]
     if level:
         last, on = last.withColumn("t_sub", grid.sub(level)), ["cell", "t_sub"]
-    singles = _prefixed(grid.points(last.select(*on, *grid.features)), "p_")
+    singles = _prefixed(grid.points(last.select(*on, "w", *grid.features)), "p_")
     for c in on:
         singles = singles.withColumnRenamed(f"p_{c}", c)
     met = open_.select(*on, "id", *grid.box_columns("q_")).join(singles, on)
-    hits = met.where(grid.nearest("q_", "p_") <= grid.limit).groupBy(*keys).agg(F.count("*").alias("hits"))
+    hits = met.where(grid.nearest("q_", "p_") <= grid.limit).groupBy(*keys).agg(F.sum("p_n").alias("hits"))
     return _summed(parts + [hits], keys)
 
 
@@ -274,7 +275,7 @@ def _linked(
         cells = open_.select(F.explode(F.array("a_cell", "b_cell")).alias("cell"))
         near_rows = _rows_of(rows, cells)
         if exact:
-            pieces = grid.points(near_rows.select("cell", *grid.features))
+            pieces = grid.points(near_rows.select("cell", "w", *grid.features))
         else:
             pieces = grid.boxes(near_rows.withColumn("sub", grid.sub(level)), "cell", "sub").drop("sub")
         pieces = materialise(pieces)
@@ -319,7 +320,6 @@ def dbscan(
     features: tuple,
     eps: float = EPS,
     min_rows: int = MIN_ROWS,
-    key: str = "uid",
     open_limit: int = OPEN_LIMIT,
 ) -> DataFrame:
     """Add ``cluster_dbscan`` (-1 for outliers) and ``is_anomalie``.
@@ -338,7 +338,10 @@ def dbscan(
     if span / grid.side >= (1 << grid.bits) - 1:
         raise ValueError("eps is too small for the range of the features")
 
-    rows = df.select(F.col(key).alias("id"), grid.cell().alias("cell"), *features)
+    # Equal vectors are one point with a weight, so a common vector is never compared row by row.
+    vector = F.concat_ws(",", *[F.col(f).cast("double").cast("string") for f in features])
+    rows = df.groupBy(*features).agg(F.count("*").alias("w"))
+    rows = materialise(rows.select(vector.alias("id"), grid.cell().alias("cell"), "w", *features))
     cells = materialise(grid.boxes(rows, "cell"))
     spread = scalars(cells, **{f"s{i}": F.stddev_pop(grid.index(F.col("cell"), i)) for i in range(grid.dims)})
     axes = sorted(range(grid.dims), key=lambda i: -(spread[f"s{i}"] or 0.0))
@@ -372,7 +375,7 @@ def dbscan(
     core_loose = loose.where("core")
     core_cells = materialise(dense.unionByName(grid.boxes(core_loose, "cell")))
     n_core = core_cells.count()
-    core_rows = _rows_of(rows, dense).unionByName(core_loose.select("id", "cell", *grid.features))
+    core_rows = _rows_of(rows, dense).unionByName(core_loose.select("id", "cell", "w", *grid.features))
     # Fewer rows can only tighten a box: sure pairs stay sure, the rest are judged again.
     kept = _judged(grid, pairs.where("NOT sure").select("a_cell", "b_cell"), core_cells, n_core)
     firm = pairs.where("sure")
@@ -380,35 +383,32 @@ def dbscan(
         firm = firm.join(_sized(core_cells.select(F.col("cell").alias(end)), n_core), end, "left_semi")
     linked = materialise(kept.unionByName(firm.select("a_cell", "b_cell", "sure")))
     labels = _linked(grid, linked, core_cells, core_rows, open_limit)
-    order = Window.orderBy("label")
-    numbers = labels.select("label").distinct().select(
-        "label", (F.row_number().over(order) - 1).cast("int").alias("number")
-    )
-    numbered = materialise(labels.join(numbers, "label").select("cell", "number"))
+    numbers = numbered(labels.select("label").distinct(), ["label"], "number").withColumn("number", F.col("number").cast("int"))
+    by_cell = materialise(labels.join(numbers, "label").select("cell", "number"))
 
     # Border rows: not core, within eps of a core row; their own cell's core rows are.
     rest = loose.where("NOT core").drop("core")
     edge = _prefixed(grid.points(rest), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
     reach = _both_ways(pairs.select("a_cell", "b_cell"))
-    touch = edge.join(reach, "a_cell").join(numbered.select("cell"), "cell", "left_semi")
+    touch = edge.join(reach, "a_cell").join(by_cell.select("cell"), "cell", "left_semi")
     touch = touch.select("id", "cell", *grid.box_columns("q_"))
     touched = _count_within(grid, touch, core_cells, core_rows, 1 << 62, open_limit)
-    inside = rest.join(numbered, "cell").select("id", "number")
-    border = touched.join(numbered, "cell").select("id", "number").unionByName(inside)
+    inside = rest.join(by_cell, "cell").select("id", "number")
+    border = touched.join(by_cell, "cell").select("id", "number").unionByName(inside)
     border = border.groupBy("id").agg(F.min("number").alias("number"))
 
     loose_labels = (
-        core_loose.join(numbered, "cell").select("cell", "id", "number")
+        core_loose.join(by_cell, "cell").select("cell", "id", "number")
         .unionByName(rest.join(border, "id").select("cell", "id", "number"))
     )
     entries = F.map_from_entries(F.collect_list(F.struct("id", "number")))
     few = loose_labels.groupBy("cell").agg(entries.alias("members"))  # under min_rows each
     lookup = (
-        numbered.join(dense.select("cell"), "cell", "left_semi")
+        by_cell.join(dense.select("cell"), "cell", "left_semi")
         .select("cell", "number", F.lit(None).cast("map<string,int>").alias("members"))
         .unionByName(few.select("cell", F.lit(None).cast("int").alias("number"), F.col("members").cast("map<string,int>").alias("members")))
     )
-    found = F.coalesce("number", F.element_at("members", F.col(key).cast("string")), F.lit(-1))
+    found = F.coalesce("number", F.element_at("members", vector), F.lit(-1))
     placed = df.withColumn("cell", grid.cell()).join(lookup_side(lookup), "cell", "left")
     return placed.withColumns(
         {"cluster_dbscan": found, "is_anomalie": (found == -1).cast("int")}

@@ -444,6 +444,13 @@ def _(spark, d):
     return given.agg(F.countDistinct("cluster_kmeans").alias("k")).withColumn("silhouette", F.round(F.lit(value), 6))
 
 
+@query("c3_silhouette_sample")
+def _(spark, d):
+    given = views.features(spark, d).withColumn("cluster_kmeans", (F.col("product_id").cast("long") % 4).cast("int"))
+    n, value = cluster.sampled_silhouette(given, "cluster_kmeans")
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(value), 6).alias("silhouette"))
+
+
 def _given_clusters(spark, d):
     return products(spark, d).withColumn(
         "cluster_kmeans", (F.col("product_id").cast("long") % 4).cast("int")
@@ -467,6 +474,11 @@ def _(spark, d):
     return views.outlined(spark, d).select("uid", "cluster_dbscan", "is_anomalie")
 
 
+@query("c6_outliers")
+def _(spark, d):
+    return views.outlined(spark, d).select("uid", "is_anomalie")
+
+
 @query("c7_outlier_counts")
 def _(spark, d):
     return density.outlier_counts(views.outlined(spark, d))
@@ -529,15 +541,14 @@ def _(spark, d):
 
 @query("l6_single_class")
 def _(spark, d):
-    """One class only: the guard of the training itself; nothing is trained, metrics are 0."""
+    """Three quarters of all rows share the lowest score, so the 70 % cut takes every row: one class, nothing is trained."""
+    cheap = F.col("product_id").cast("long") % 4 == 0
     same = products(spark, d).select(
-        F.col("uid"), F.lit(10.0).alias("prix"), F.lit(0.0).alias("remise_pct"),
-        F.lit(0).alias("stock"), F.lit(1).alias("top_produit"),
+        "uid", F.when(cheap, 10.0).otherwise(100.0).alias("prix"), F.lit(0.0).alias("remise_pct"), F.lit(0).alias("stock"),
     )
-    rows, accuracy, f1 = classify.container_probability(same)
-    counted = rows.where("proba_top = 0.5").agg(F.countDistinct("top_produit").alias("classes"), F.count("*").alias("n"))
-    metrics = classify.EMPTY | {"accuracy": accuracy, "f1": f1}
-    return counted.select("classes", "n", *[F.lit(v).alias(k) for k, v in metrics.items()])
+    results, labelled, models = classify.train_and_evaluate(same)
+    counted = labelled.agg(F.countDistinct("top_produit").alias("classes"), F.count("*").alias("n"), F.lit(len(models)).alias("models"))
+    return counted.select("classes", "n", "models", *[F.lit(v).alias(k) for k, v in results["xgboost"].items()])
 
 
 @query("l7_split")
@@ -562,7 +573,7 @@ def _(spark, d):
 @query("l14_importance")
 def _(spark, d):
     """Of the boosted trees, fitted on the training part."""
-    return classify.importance(classify.fit_boosted(views.enriched(spark, d)))
+    return classify.importance(classify.boosted_of(views.enriched(spark, d)))
 
 
 @query("l11_cross_validation")
