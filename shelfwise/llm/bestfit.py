@@ -67,31 +67,42 @@ def best_fit(
     count and, with residual capacities in parts of the limits, has the least weighted norm
     afterwards (``norm``) or the least weighted dot product with the piece's demand (``dot``);
     ties take the oldest bin, and a new bin opens only when none can take the piece.
+
+    A bin that has taken a piece is a better choice for an equal piece than it was before, so
+    it takes equal pieces until it can't, and all pieces of a length are placed at once.
     """
-    caps = np.array(limits, float)
+    caps = np.array(limits, np.int64)
     w = np.array(weights, float)
-    demand = np.column_stack([sizes, np.ones(len(sizes)), sizes.astype(float) ** 2]).astype(float)
-    if (demand > caps).any():
+    bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    if not len(sizes):
+        return bins, offsets
+    if sizes.max() > caps[0] or caps[1] < 1 or int(sizes.max()) ** 2 > caps[2]:
         raise ValueError("a piece is larger than a whole sequence")
     order = np.argsort(-sizes, kind="stable")
-    smallest = demand[order[-1]] if len(order) else caps
-    bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    free, number, opened = np.empty((0, 3)), np.empty(0, np.int64), 0
-    for done, at in enumerate(order):
-        if done % 512 == 0:  # bins that not even the smallest piece fits are never looked at again
-            usable = (free >= smallest).all(1)
-            free, number = free[usable], number[usable]
-        d = demand[at]
-        fits = np.flatnonzero((free >= d).all(1))
-        if len(fits):
-            scaled = free[fits] / caps
-            score = ((scaled - d / caps) ** 2) @ w if rule == "norm" else scaled @ (w * d / caps)
-            chosen = fits[int(np.argmin(score))]
-        else:
-            free, number = np.vstack([free, caps]), np.append(number, opened)
-            chosen, opened = len(free) - 1, opened + 1
-        bins[at], offsets[at] = number[chosen], limits[0] - free[chosen][0]
-        free[chosen] -= d
+    lengths, firsts = np.unique(-sizes[order], return_index=True)
+    least = np.array([-lengths[-1], 1, lengths[-1] ** 2])
+    free, number, opened = np.empty((0, 3), np.int64), np.empty(0, np.int64), 0
+    for length, items in zip(-lengths, np.split(order, firsts[1:])):
+        d = np.array([length, 1, length**2])
+        room = (free // d).min(1)
+        fits = np.flatnonzero(room > 0)
+        scaled = free[fits] / caps
+        score = ((scaled - d / caps) ** 2) @ w if rule == "norm" else scaled @ (w * d / caps)
+        fits = fits[np.argsort(score, kind="stable")]
+        missing = len(items) - int(room[fits].sum())
+        if missing > 0:
+            each = int((caps // d).min())
+            new = -(-missing // each)
+            fits = np.concatenate([fits, len(free) + np.arange(new)])
+            free, room = np.vstack([free, np.tile(caps, (new, 1))]), np.append(room, np.full(new, each))
+            number, opened = np.append(number, opened + np.arange(new)), opened + new
+        taken = np.minimum(room[fits], np.maximum(0, len(items) - (np.cumsum(room[fits]) - room[fits])))
+        chosen = np.repeat(fits, taken)
+        place = np.arange(len(items)) - np.repeat(np.cumsum(taken) - taken, taken)
+        bins[items], offsets[items] = number[chosen], caps[0] - free[chosen, 0] + place * length
+        free[fits] -= taken[:, None] * d
+        usable = (free >= least).all(1)  # the others can't take the smallest piece
+        free, number = free[usable], number[usable]
     return bins, offsets
 
 
