@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.components import components
-from shelfwise.operators.encode import numbered
+from shelfwise.operators.places import numbered
 from shelfwise.operators.quantiles import scalars
 from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise, width
 

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.sizing import lookup_side, materialise, width
+from shelfwise.operators.places import numbered
+from shelfwise.operators.sizing import lookup_side
 
 UNKNOWN = "inconnu"
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Rows with their place from 0 in the order of ``order``, whose values should be unique.
-
-    Rows are range-partitioned by sampled cuts and sorted inside their partition, and the
-    partitions' counts, one row each, are added up before them. No task sees more than its range.
-    """
-    place, part = "_sw_place", "_sw_part"
-    spread = df.repartitionByRange(width(df), *order).sortWithinPartitions(*order)
-    # An id holds the partition above the row's place in it, 33 bits.
-    placed = materialise(spread.withColumn(place, F.monotonically_increasing_id()))
-    placed = placed.withColumn(part, F.shiftright(place, 33))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy(part).agg(F.count("*").alias("n")).select(
-        part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_sw_base")
-    )
-    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(bases), part).select(*df.columns, (F.col("_sw_base") + within).cast("long").alias(out))
-
-
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
     """Table ``(value, code)`` with codes from 0 in sorted order, nulls as ``inconnu``."""
     values = df.select(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("value")).distinct()

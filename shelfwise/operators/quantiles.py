@@ -9,124 +9,138 @@ few enough values to sort. Every pass is a one-row aggregate with map-side parti
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.places import earlier_sums
+from shelfwise.operators.sizing import materialise
+
 SMALL = 100_000
 ACCURACY = 10_000
 
 
-def _inside(c: Column, low, high) -> Column:
-    """Strictly between the bracket's ends; without a bracket, every non-null value."""
-    return c.isNotNull() if low is None else (c > F.lit(low)) & (c < F.lit(high))
+@dataclass(frozen=True)
+class Span:
+    """Values strictly between two ends, how many lie below and inside, and the wanted positions among them."""
+
+    name: str
+    low: object
+    high: object
+    below: int
+    count: int
+    positions: tuple
 
+    def inside(self) -> Column:
+        c = F.col(self.name)
+        kept = c.isNotNull()
+        if self.low is not None:
+            kept = kept & (c > F.lit(self.low))
+        return kept if self.high is None else kept & (c < F.lit(self.high))
 
-def _read_small(df: DataFrame, wants: dict[str, tuple]) -> dict[str, dict[int, float]]:
-    """Values at the given positions of brackets known to hold at most SMALL rows."""
+
+def _read(df: DataFrame, spans: list[Span]) -> list[dict[int, float]]:
+    """The wanted values of spans that hold few rows, all in one aggregate."""
     aggs = []
-    for name, (source, low, high, positions) in wants.items():
-        c = F.col(source)
-        ordered = F.sort_array(F.collect_list(F.when(_inside(c, low, high), c)))
-        aggs.append(F.array(*[F.element_at(ordered, p + 1) for p in positions]).alias(name))
+    for i, s in enumerate(spans):
+        ordered = F.sort_array(F.collect_list(F.when(s.inside(), F.col(s.name))))
+        aggs.append(F.array(*[F.element_at(ordered, p - s.below + 1) for p in s.positions]).alias(f"s_{i}"))
     row = df.agg(*aggs).first()
-    return {name: dict(zip(want[3], row[name])) for name, want in wants.items()}
+    return [dict(zip(s.positions, row[f"s_{i}"])) for i, s in enumerate(spans)]
+
+
+def _sketch(c: Column, positions: list[int], below: int, count: int) -> Column:
+    """Approximate values around each position, by its share of the rows."""
+    margin, edges = 2.0 / ACCURACY, []
+    for p in positions:
+        q = (p - below) / max(count - 1, 1)
+        edges += [max(q - margin, 0.0), min(q + margin, 1.0)]
+    return F.percentile_approx(c, [float(e) for e in edges], ACCURACY)
+
+
+def _cut(df: DataFrame, spans: list[Span], ends: list[list], found: dict) -> list[Span]:
+    """Count below, at and between the ends of all spans in one aggregate; what is still open comes back, shorter."""
+    aggs, cuts = [], []
+    for i, s in enumerate(spans):
+        c = F.col(s.name)
+        for low, high, positions in _brackets(s.positions, ends[i]):
+            k = len(cuts)
+            cuts.append((s, low, high, positions))
+            tests = {"under": c < F.lit(low), "upto": c <= F.lit(low), "before": c < F.lit(high), "through": c <= F.lit(high)}
+            aggs += [F.count_if(t).alias(f"{n}_{k}") for n, t in tests.items()]
+    row, left = df.agg(*aggs).first(), {}
+    for k, (s, low, high, positions) in enumerate(cuts):
+        under, upto, before, through = (row[f"{n}_{k}"] for n in ("under", "upto", "before", "through"))
+        for p in positions:
+            if under <= p < upto:
+                found[s.name][p] = low
+            elif before <= p < through:
+                found[s.name][p] = high
+            else:  # between the ends, or on a side where the sketch was too far off
+                if p < under:
+                    part = (s.name, s.low, low, s.below, under - s.below)
+                elif p >= through:
+                    part = (s.name, high, s.high, through, s.below + s.count - through)
+                else:
+                    part = (s.name, low, high, upto, before - upto)
+                left.setdefault(part, set()).add(p)
+    return [Span(*part, tuple(sorted(ps))) for part, ps in left.items()]
+
+
+def _brackets(positions: tuple, ends: list) -> list[tuple]:
+    """Equal ends are counted once for all positions they were found for."""
+    grouped: dict[tuple, list[int]] = {}
+    for i, p in enumerate(positions):
+        grouped.setdefault((ends[2 * i], ends[2 * i + 1]), []).append(p)
+    return [(low, high, ps) for (low, high), ps in grouped.items()]
 
 
 def order_statistics(
     df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL
 ) -> dict[str, tuple[int, dict[int, float]]]:
-    """For each column, its non-null count and the order statistics around each fraction."""
-    columns = list(wanted)
-    df = df.select(*columns)
+    """For each column, its non-null count and the order statistics around each fraction.
+
+    All open positions of all columns are narrowed together: a level is one aggregate that
+    sketches values around each and one that counts below them. A span shrinks to some ten
+    thousandths of itself at each level, so the passes don't grow with the positions.
+    """
+    df = df.select(*wanted)
     margin = 2.0 / ACCURACY
     aggs = []
-    for name in columns:
-        edges = [
-            edge
-            for q in wanted[name]
-            for edge in (max(q - margin, 0.0), min(q + margin, 1.0))
-        ]
-        aggs.append(F.count(name).alias(f"n_{name}"))
-        aggs.append(
-            F.percentile_approx(name, [float(e) for e in edges], ACCURACY).alias(f"b_{name}")
-        )
+    for name, fractions in wanted.items():
+        edges = [float(e) for q in fractions for e in (max(q - margin, 0.0), min(q + margin, 1.0))]
+        aggs += [F.count(name).alias(f"n_{name}"), F.percentile_approx(name, edges, ACCURACY).alias(f"b_{name}")]
     row = df.agg(*aggs).first()
-
-    found: dict[str, tuple[int, dict[int, float]]] = {}
-    direct: dict[str, tuple] = {}
-    narrow: list[tuple[str, float, float, list[int]]] = []
-    for name in columns:
-        n = row[f"n_{name}"]
-        found[name] = (n, {})
-        if n == 0:
-            continue
-        groups = []
-        for i, q in enumerate(wanted[name]):
-            at = q * (n - 1)
-            low, high = row[f"b_{name}"][2 * i : 2 * i + 2]
-            groups.append((low, high, sorted({math.floor(at), math.ceil(at)})))
-        if n <= small:  # few rows: sort them all
-            direct[f"s_{name}"] = (name, None, None, sorted({p for g in groups for p in g[2]}))
-        else:
-            narrow.extend((name, low, high, positions) for low, high, positions in groups)
-
-    if direct:
-        for key, values in _read_small(df, direct).items():
-            found[key[2:]][1].update(values)
-    if narrow:
-        _narrow(df, narrow, found, small)
-    return found
-
-
-def _narrow(df: DataFrame, brackets: list[tuple], found: dict, small: int) -> None:
-    """Place each position below, at the ends of, or strictly inside its bracket.
-
-    The ends are values of the column, so the open inside holds no more rows than the
-    sketch's error allows, however often a single value repeats.
-    """
-    counts = []
-    for i, (name, low, high, _) in enumerate(brackets):
-        c = F.col(name)
-        counts.append(F.count_if(c < F.lit(low)).alias(f"under_{i}"))
-        counts.append(F.count_if(c <= F.lit(low)).alias(f"upto_{i}"))
-        counts.append(F.count_if(c < F.lit(high)).alias(f"before_{i}"))
-        counts.append(F.count_if(c <= F.lit(high)).alias(f"through_{i}"))
-    row = df.agg(*counts).first()
-    direct: dict[str, tuple] = {}
-    for i, (name, low, high, positions) in enumerate(brackets):
-        under, upto = row[f"under_{i}"], row[f"upto_{i}"]
-        before, through = row[f"before_{i}"], row[f"through_{i}"]
-        c, values = F.col(name), found[name][1]
-        inside = []
-        for p in positions:
-            if under <= p < upto:
-                values[p] = low
-            elif before <= p < through:
-                values[p] = high
-            elif upto <= p < before:
-                inside.append(p)
-            else:  # outside what the sketch promised: search that side in full
-                below = p < under
-                part = df.where(c < F.lit(low)) if below else df.where(c > F.lit(high))
-                values[p] = _one(part, name, p if below else p - through, small)
-        if inside and before - upto <= small:
-            direct[f"s_{i}"] = (name, low, high, [p - upto for p in inside])
+    counts = {name: row[f"n_{name}"] for name in wanted}
+    found: dict[str, dict[int, float]] = {name: {} for name in wanted}
+    spans, ends = [], []
+    for name, fractions in wanted.items():
+        n, around = counts[name], {}
+        for i, q in enumerate(fractions if n else ()):
+            for p in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
+                around.setdefault(p, row[f"b_{name}"][2 * i : 2 * i + 2])
+        if around:
+            spans.append(Span(name, None, None, 0, n, tuple(sorted(around))))
+            ends.append([e for p in sorted(around) for e in around[p]])
+    while spans:
+        few = [s for s in spans if s.count <= small]
+        for s, values in zip(few, _read(df, few) if few else ()):
+            found[s.name].update(values)
+        keep = [i for i, s in enumerate(spans) if s.count > small]
+        spans, ends = [spans[i] for i in keep], [ends[i] for i in keep]
+        if not spans:
+            break
+        spans = _cut(df, spans, ends, found)
+        many = [s for s in spans if s.count > small]
+        if many:
+            looks = [_sketch(F.when(s.inside(), F.col(s.name)), list(s.positions), s.below, s.count).alias(f"e_{i}") for i, s in enumerate(many)]
+            row = df.agg(*looks).first()
+            by_span = {s: row[f"e_{i}"] for i, s in enumerate(many)}
+            ends = [by_span.get(s, []) for s in spans]
         else:
-            for p in inside:
-                values[p] = _one(df.where(_inside(c, low, high)), name, p - upto, small)
-    if direct:
-        for key, read in _read_small(df, direct).items():
-            i = int(key[2:])
-            upto = row[f"upto_{i}"]
-            found[brackets[i][0]][1].update({p + upto: v for p, v in read.items()})
-
-
-def _one(df: DataFrame, name: str, position: int, small: int):
-    """The value at one zero-based position of a column without nulls."""
-    n = df.count()
-    stats = order_statistics(df, {name: [position / max(n - 1, 1)]}, small)[name][1]
-    return stats[position]
+            ends = [[] for _ in spans]
+    return {name: (counts[name], found[name]) for name in wanted}
 
 
 def quantiles(
@@ -156,3 +170,31 @@ def quantiles(
 def scalars(df: DataFrame, **aggregates: Column) -> dict:
     """Named one-row aggregates of a table."""
     return df.agg(*[a.alias(name) for name, a in aggregates.items()]).first().asDict()
+
+
+def grouped_quantiles(df: DataFrame, key: str, value: str, fractions: list[float]) -> DataFrame:
+    """Exact quantiles per group: ``(key, n, minimum, maximum, q)``, ``q`` an array in the order of ``fractions``.
+
+    Values are counted per group, the counts are added up along one range-partitioned order
+    of (group, value), and each wanted position is the value whose counts cover it. A group
+    spreads over as many ranges as its distinct values need; null values are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = materialise(earlier_sums(counts, ["_key", "_value"], "_n", "_before"))
+    groups = placed.groupBy("_key").agg(
+        F.min("_before").alias("_start"), F.sum("_n").alias("n"), F.min("_value").alias("minimum"), F.max("_value").alias("maximum")
+    )
+    wanted = []
+    for i, q in enumerate(fractions):
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        wanted += [F.struct(F.lit(i).alias("i"), side(at).cast("long").alias("p")) for side in (F.floor, F.ceil)]
+    asked = groups.select(F.col("_key").alias("_group"), "_start", F.explode(F.array(*wanted)).alias("w")).distinct()
+    place = F.col("_before") - F.col("_start")
+    covered = F.col("_key").eqNullSafe(F.col("_group")) & (F.col("w.p") >= place) & (F.col("w.p") < place + F.col("_n"))
+    ends = placed.join(asked, covered).groupBy("_group", F.col("w.i").alias("i")).agg(F.min("_value").alias("low"), F.max("_value").alias("high"))
+    share = F.element_at(F.array(*[F.lit(float(q)) for q in fractions]), F.col("i") + 1) * (F.col("n") - 1)
+    share = share - F.floor(share)
+    value_at = F.when((share == 0) | (F.col("low") == F.col("high")), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * share)
+    joined = groups.join(ends, F.col("_key").eqNullSafe(F.col("_group")))
+    listed = F.sort_array(F.collect_list(F.struct("i", value_at.cast("double").alias("v"))))
+    return joined.groupBy(F.col("_key").alias(key), "n", "minimum", "maximum").agg(F.transform(listed, lambda e: e["v"]).alias("q"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import fixed
-from shelfwise.operators.quantiles import quantiles, scalars
+from shelfwise.operators.quantiles import grouped_quantiles, quantiles, scalars
 from shelfwise.operators.ranking import top_k
 
 # Bins, sample sizes, list lengths, label lengths of the views.
@@ -205,30 +205,11 @@ def price_stats(df: DataFrame) -> DataFrame:
 
 
 def discount_spread(df: DataFrame, k: int = 7) -> DataFrame:
-    """Quartiles of the discount in the k categories with most promotions.
-
-    Discounts are counted per category and value first, so a large category arrives
-    as its short list of distinct percents.
-    """
-    counts = (
-        df.where(F.col("remise_pct") > 0).groupBy("categorie", "remise_pct").agg(F.count("*").alias("n"))
-    )
-    largest = (
-        counts.where(F.col("categorie").isNotNull())
-        .groupBy("categorie")
-        .agg(F.sum("n").alias("m"))
-        .orderBy(F.desc("m"), "categorie")
-        .limit(k)
-        .select("categorie")
-    )
-    kept = counts.join(F.broadcast(largest), "categorie", "left_semi")
-    quartiles = F.percentile("remise_pct", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    return kept.groupBy("categorie").agg(
-        F.sum("n").alias("n"),
-        F.min("remise_pct").alias("minimum"),
-        quartiles.alias("q"),
-        F.max("remise_pct").alias("maximum"),
-    ).select(
+    """Quartiles of the discount in the k categories with most promotions; no category is gathered in a task."""
+    promoted = df.where((F.col("remise_pct") > 0) & F.col("categorie").isNotNull()).select("categorie", "remise_pct")
+    largest = promoted.groupBy("categorie").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "categorie").limit(k)
+    kept = promoted.join(F.broadcast(largest.select("categorie")), "categorie", "left_semi")
+    return grouped_quantiles(kept, "categorie", "remise_pct", [0.25, 0.5, 0.75]).select(
         "categorie", "n", F.round("minimum", 6).alias("minimum"),
         *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q1", "mediane", "q3"))],
         F.round("maximum", 6).alias("maximum"),
