@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import OWN, TAG, release, running_total, stage, tagged, text_or_empty
 
+#: Bytes up to which a table with a row per source is sent to all tasks.
+BROADCAST_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 RESULT = {f"{OWN}size": "size", f"{OWN}source_size": "source_size", f"{OWN}target": "target", f"{OWN}taken": "taken"}
 
@@ -39,18 +41,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return by_ratio.select("source", "source_size", "turn", target.alias("target"))
 
 
-def schedule(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+def small_side(df: DataFrame, text: str | None = None) -> DataFrame:
+    """A table of one row per source as a broadcast side, if its counted rows and bytes allow it.
+
+    Otherwise it is joined by shuffle, and Spark splits skewed keys.
+    """
+    found = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] * 64 + (found["bytes"] or 0) <= BROADCAST_BYTES else df
+
+
+def schedule(rows: DataFrame, targets: DataFrame, budget: int, seed: int) -> DataFrame:
     """What the mix takes, in its order: ``(tag, epoch, finish, words, before_words)``.
 
     A source is gone through as often as its target asks for, each time in another shuffled
-    order. The words before a row in its source, over the source's target, are its virtual
-    start; its own words later lies its finish time. All rows of all sources are sorted by
-    finish time over the whole cluster. The budget is spent at virtual time 1: what finishes
-    later is cut off, and of the one document per source that is then being served only the
-    words before that moment count.
+    order. A document's finish time is the words of its source up to its own end over the source's
+    target. The document in service at virtual time 1 is two pieces, before and after the last whole
+    word that its source's target holds. All pieces of all sources are sorted by finish time over the whole
+    cluster and taken in that order until the ``budget`` of words is spent.
     """
     times = F.when(F.col("source_size") > 0, F.ceil(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    runs = rows.where(f"{OWN}size > 0").join(targets.where("target > 0"), F.col(f"{OWN}source").eqNullSafe(F.col("source")))
+    wanted = small_side(targets.where("target > 0"), "source")
+    runs = rows.where(f"{OWN}size > 0").join(wanted, F.col(f"{OWN}source").eqNullSafe(F.col("source")))
     runs = runs.select(
         TAG, f"{OWN}id", f"{OWN}size", "turn", "target",
         F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"),
@@ -58,16 +69,19 @@ def schedule(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     runs = runs.withColumn("place", F.md5(F.concat_ws("|", F.lit(seed), "epoch", F.coalesce(F.col(f"{OWN}id").cast("string"), F.lit(""))).cast("binary")))
     laid = running_total(runs, ["turn", "epoch", "place", f"{OWN}id", f"{OWN}size", TAG], [f"{OWN}size"], "mix-queues")
     bases = laid.groupBy("turn").agg(F.min(f"before_{OWN}size").alias("base"))
-    queued = laid.join(bases, "turn").withColumn("start", F.col(f"before_{OWN}size") - F.col("base"))
-    queued = queued.withColumn("finish", (F.col("start") + F.col(f"{OWN}size")) / F.col("target"))
-    words = F.least(F.col(f"{OWN}size"), F.floor(F.col("target") - F.col("start"))).cast("long")
-    taken = queued.withColumn("words", words).where("words > 0")
-    ordered = running_total(
-        taken.select(TAG, f"{OWN}id", f"{OWN}size", "turn", "epoch", "finish", "words"),
-        ["finish", "turn", "epoch", f"{OWN}id", TAG], ["words"], "mix-order",
+    edge = F.floor("target")
+    queued = laid.join(small_side(bases), "turn").withColumn("start", F.col(f"before_{OWN}size") - F.col("base"))
+    queued = queued.withColumn("end", F.col("start") + F.col(f"{OWN}size"))
+    piece = lambda a, b: F.struct(b.cast("long").alias("end"), (b - a).cast("long").alias("words"))
+    start, end = F.col("start"), F.col("end")
+    pieces = F.when((start < edge) & (edge < end), F.array(piece(start, edge), piece(edge, end))).otherwise(F.array(piece(start, end)))
+    queued = queued.select(TAG, f"{OWN}id", "turn", "epoch", "target", F.explode(pieces).alias("p")).select(
+        TAG, f"{OWN}id", "turn", "epoch", (F.col("p.end") / F.col("target")).alias("finish"), F.col("p.words").alias("words")
     )
+    ordered = running_total(queued, ["finish", "turn", "epoch", f"{OWN}id", TAG], ["words"], "mix-order")
     release(laid)
-    return ordered
+    left = F.lit(budget).cast("long") - F.col("before_words")
+    return ordered.where(left > 0).withColumn("words", F.least("words", left))
 
 
 def mix(
@@ -88,7 +102,8 @@ def mix(
     null source is a source of its own and comes last. A text without words is never taken.
     Rows that repeat an id are rows of their own and change places only with each other.
     Empty tables give empty results. The order depends on ids and the seed alone, so reruns
-    agree. Hot sources are ranges of one global order, never one task.
+    agree. Hot sources are ranges of one global order, never one task. The
+    budget is the whole words of all targets.
     """
     keep = list(docs.columns if keep is None else keep)
     own = docs.select(
@@ -100,13 +115,14 @@ def mix(
     rows = stage(tagged(own), "mix-rows")
     sizes = rows.groupBy(F.col(f"{OWN}source").alias("source")).agg(F.sum(f"{OWN}size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, share, cap), "mix-targets")
-    order = schedule(rows.select(TAG, f"{OWN}id", f"{OWN}source", f"{OWN}size"), targets, seed)
+    budget = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    order = schedule(rows.select(TAG, f"{OWN}id", f"{OWN}source", f"{OWN}size"), targets, budget, seed)
     taken = order.groupBy(TAG).agg(F.sum("words").alias(f"{OWN}taken"))
     own_targets = targets.select(
         F.col("source").alias(f"{OWN}mixed"), F.col("source_size").alias(f"{OWN}source_size"), F.col("target").alias(f"{OWN}target")
     )
     placed = (
-        rows.join(own_targets, F.col(f"{OWN}source").eqNullSafe(F.col(f"{OWN}mixed")))
+        rows.join(small_side(own_targets, f"{OWN}mixed"), F.col(f"{OWN}source").eqNullSafe(F.col(f"{OWN}mixed")))
         .join(taken, TAG, "left")
         .withColumn(f"{OWN}taken", F.coalesce(f"{OWN}taken", F.lit(0)).cast("long"))
     )
