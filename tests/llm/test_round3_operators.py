@@ -77,6 +77,14 @@ def test_best_fit_of_awkward_rows(spark, awkward, ids_of):
     assert none.count() == 0 and none.columns == list(bestfit.RESULT)
 
 
+def test_encoder_tests_texts_as_the_shared_one_does():
+    from shelfwise.llm import packing
+
+    texts = [t or "" for _, t in TEXTS] + ["x" * 1999, "x" * 2000, " " * 199, " \n" * 100, "a\u2028b", "\x7f", "\x85", "\u024f\u0250"]
+    for t in texts:
+        assert bool(packing._PLAIN.search(t)) == any(bool(p.search(t)) for p in bestfit.PieceEncoder.ODD)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_each_limit_binds(rule):
     rng = np.random.default_rng(5)
