@@ -22,7 +22,7 @@ from shelfwise.sources.offers import products  # noqa: E402
 
 HEADLINE = (
     "s0_products", "n5_html_text", "n14_card_dedupe", "n18_n20_clean", "n23_normalised", "f1_f4_derived",
-    "f5_label_codes", "f6_imputed", "f9_features", "f12_fallback_rank_label", "c4_cluster_profile",
+    "f5_label_codes", "f6_imputed", "f9_features", "f12_fallback_rank_label", "c3_silhouette_sample", "c4_cluster_profile",
     "c8_pca", "l1_target", "l7_split", "a2_order_baskets", "a8_rules", "t2_composite_score", "t3_rank_any",
     "t5_top_k", "t6_container_score", "d1_filters", "d4_kpis", "d8_category_volume", "d9_score_histogram",
     "d10_price_histogram", "d14_sample", "d17_discount_spread", "d19_search", "m1_context",
