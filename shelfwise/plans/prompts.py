@@ -203,6 +203,7 @@ def enrich_questions(questions: DataFrame, df: DataFrame, key: str = "qid", text
     else:
         met = asked.select(key, F.lit("").alias("piece")).join(stats, "piece")
     hits = met.groupBy(key).agg(F.min(F.struct("categorie", "n", "px", "rem")).alias("c"))
+    # The wording of the facts, part of the result.
     fact = F.concat(
         F.lit("\n[Données réelles pour '"), F.col("c.categorie"), F.lit("': "),
         F.col("c.n").cast("string"), F.lit(" produits, prix moyen "), fixed(F.col("c.px"), 0),
@@ -227,6 +228,7 @@ def enrich_questions(questions: DataFrame, df: DataFrame, key: str = "qid", text
             found = found | F.contains("_q", F.lit(word))
         return found
 
+    # The wording of the two lists, part of the result.
     promo_text = f"\n[Top 3 remises: {best}]" if best else ""
     cheap_text = f"\n[Produits les moins chers: {cheap}]" if cheap else ""
     return (
