@@ -1,15 +1,24 @@
-"""Tables that Spark derives once per application and keeps in the shared folder."""
+"""Tables that Spark derives once and keeps in the shared folder: landed views and steps of a batch job."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
+import time
+import uuid
 from collections.abc import Callable
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from shelfwise.session import work_dir
 
-_SCHEMAS: dict[str, object] = {}
+#: Written last into a finished table's folder; Spark's readers skip names with an underscore.
+MANIFEST = "_manifest.json"
+#: Versions of a landed table that stay, and the age in seconds below which any version stays.
+KEEP_VERSIONS, KEEP_SECONDS = 3, 7 * 86_400
 
 
 def file_system(spark: SparkSession, path: str):
@@ -24,23 +33,89 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, location = file_system(spark, path)
+    out = system.create(location, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file, or nothing where there is none."""
+    system, location = file_system(spark, path)
+    if not system.exists(location):
+        return None
+    stream = system.open(location)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names of the folders directly below a folder, with their times of change in milliseconds."""
+    system, location = file_system(spark, path)
+    if not system.exists(location):
+        return []
+    return sorted((e.getPath().getName(), e.getModificationTime()) for e in system.listStatus(location) if e.isDirectory())
+
+
+def _input_files(spark: SparkSession, path: str) -> list[str]:
+    """One line per file of an input, at any depth."""
+    system, location = file_system(spark, path)
+    if system.getFileStatus(location).isFile():
+        entries = [system.getFileStatus(location)]
+    else:
+        entries, listing = [], system.listFiles(location, True)
+        while listing.hasNext():
+            entries.append(listing.next())
+    return sorted(f"{e.getPath()}|{e.getLen()}|{e.getModificationTime()}" for e in entries)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Changes when an input file is added, removed, resized or rewritten."""
+    """Changes when a file of an input is added, removed, resized or rewritten, at any depth of its folder."""
     digest = hashlib.sha256()
     for path in paths:
-        system, location = file_system(spark, path)
-        status = system.getFileStatus(location)
-        entries = system.listStatus(location) if status.isDirectory() else [status]
-        for entry in sorted(entries, key=lambda e: e.getPath().toString()):
-            digest.update(
-                f"{entry.getPath()}|{entry.getLen()}|{entry.getModificationTime()}".encode()
-            )
+        digest.update(json.dumps([path, _input_files(spark, path)]).encode())
     return digest.hexdigest()[:16]
 
 
+@functools.cache
+def code_version() -> str:
+    """Changes with the code that tables are derived by, so that no table outlives its rules."""
+    package = files("shelfwise")
+    digest = hashlib.sha256(package.joinpath("schemas.py").read_bytes())
+    for part in ("functions", "operators", "plans", "sources"):
+        for module in sorted(package.joinpath(part).iterdir(), key=lambda m: m.name):
+            if module.name.endswith(".py"):
+                digest.update(module.name.encode() + module.read_bytes())
+    return digest.hexdigest()[:16]
+
+
+def store(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **manifest) -> DataFrame:
+    """Writes a table as Parquet, then its manifest with schema and the given values; reads it back."""
+    spark, schema = df.sparkSession, df.schema
+    df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
+    write_text(spark, f"{path}/{MANIFEST}", json.dumps({**manifest, "schema": schema.json(), "made": time.time()}))
+    return spark.read.schema(schema).parquet(path)
+
+
+def manifest_of(spark: SparkSession, path: str) -> dict | None:
+    """Manifest of a finished table; none for one that is absent or half written."""
+    text = read_text(spark, f"{path}/{MANIFEST}")
+    return json.loads(text) if text else None
+
+
+def load(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    return spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).parquet(path)
+
+
 def landed_path(spark: SparkSession, name: str, inputs: list[str]) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{work_dir(spark)}/shelfwise/{app}/{name}-{fingerprint(spark, inputs)}"
+    """Folder of a table's version: the same in every application that shares the folder, inputs and code."""
+    version = hashlib.sha256(f"{fingerprint(spark, inputs)}|{code_version()}".encode()).hexdigest()[:16]
+    return f"{work_dir(spark)}/shelfwise/landed/{name}/{version}"
 
 
 def landed(
@@ -50,18 +125,60 @@ def landed(
     build: Callable[[], DataFrame],
     partition_by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Parquet copy of ``build()``, written at the first call and read back after that.
+    """Parquet copy of ``build()``, written at the first call and read back by later ones, of any application.
 
-    A half-written copy has no ``_SUCCESS`` marker and is written again.
+    A version belongs to the state of all input files and of the code. Every attempt writes into a
+    folder of its own and adds its manifest last: a half-written copy is never read, and two
+    applications that build at once leave two equal copies, of which all read the same. After a
+    build, older versions go; see :func:`prune`.
     """
-    path = landed_path(spark, name, inputs)
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        df = build()
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        _SCHEMAS[path] = df.schema
-    schema = _SCHEMAS.get(path)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    home = landed_path(spark, name, inputs)
+    for attempt, _ in folders(spark, home):
+        manifest = manifest_of(spark, f"{home}/{attempt}")
+        if manifest:
+            return load(spark, f"{home}/{attempt}", manifest)
+    made = store(build(), f"{home}/{uuid.uuid4().hex}", partition_by, inputs=inputs)
+    prune(spark, name)
+    return made
+
+
+def prune(spark: SparkSession, name: str, keep: int = KEEP_VERSIONS, older_than: float = KEEP_SECONDS) -> list[str]:
+    """Deletes versions of a landed table but the ``keep`` newest; returns what went.
+
+    A version changed within ``older_than`` seconds stays, as other applications may still read it.
+    """
+    root = f"{work_dir(spark)}/shelfwise/landed/{name}"
+    aged = sorted(folders(spark, root), key=lambda f: (-f[1], f[0]))[keep:]
+    gone = [version for version, changed in aged if time.time() - changed / 1000 >= older_than]
+    for version in gone:
+        system, location = file_system(spark, f"{root}/{version}")
+        system.delete(location, True)
+    return gone
+
+
+class Steps:
+    """Steps of a batch job below one folder; a restart reads the finished ones and works on from there.
+
+    ``version`` stands for all that decides the results: inputs, settings, code. A step is
+    finished when its manifest names the version that it is asked for; a step depends on all
+    before it, so its own version is made of theirs. Without a version nothing is reused.
+    One job at a time may write to a folder.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, version: str | None = None):
+        self.spark, self.out, self.reused = spark, out, []
+        self._version = version or uuid.uuid4().hex
+
+    def __call__(
+        self, name: str, build: Callable[[], DataFrame | tuple[DataFrame, dict]], partition_by: tuple[str, ...] = ()
+    ) -> tuple[DataFrame, dict]:
+        """The step's table, and the values that ``build`` returned beside it (any that JSON can hold)."""
+        path = f"{self.out}/{name}"
+        self._version = hashlib.sha256(f"{self._version}|{name}".encode()).hexdigest()
+        manifest = manifest_of(self.spark, path)
+        if manifest and manifest.get("version") == self._version:
+            self.reused.append(name)
+            return load(self.spark, path, manifest), manifest["values"]
+        made = build()
+        df, values = made if isinstance(made, tuple) else (made, {})
+        return store(df, path, partition_by, version=self._version, values=values), values
