@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import PRODUCTS
@@ -15,9 +15,10 @@ SOURCES = ("shopify", "woocommerce", "playwright")
 def build_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derive the offers from line items, parts and suppliers.
 
-    Line items are reduced to offers with map-side partials before anything else is
-    shuffled; the per-part counts come from the reduced offers. Money is summed in
-    whole cents, so the order of summation cannot change a result.
+    Line items are read and shuffled once, reduced to offers with map-side partials. The
+    offers then lie by part, where a window adds the counts of all offers of a part (at
+    most one a supplier) and parts join without another exchange of the offers. Money is
+    summed in whole cents, so the order of summation cannot change a result.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     offers = lines.groupBy("l_suppkey", "l_partkey").agg(
@@ -29,16 +30,15 @@ def build_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("open"),
         F.max("l_shipdate").alias("shipped"),
     )
-    per_part = offers.groupBy("l_partkey").agg(
-        F.sum("nb").alias("n"), F.sum("ret").alias("returned")
-    )
+    of_part = Window.partitionBy("l_partkey")
+    offers = offers.withColumns({"n": F.sum("nb").over(of_part), "returned": F.sum("ret").over(of_part)})
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size"
     )
     shops = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_suppkey").alias("l_suppkey"), "s_name"
     )
-    joined = offers.join(per_part.join(parts, "l_partkey"), "l_partkey").join(shops, "l_suppkey")
+    joined = offers.join(parts, "l_partkey").join(shops, "l_suppkey")
 
     part = F.col("l_partkey")
     source = F.element_at(
