@@ -360,6 +360,10 @@ def _ladder(start: float) -> str:
 add("a7_support_ladder", counted(50), f"""
 SELECT attempt, min_support, count(support) AS n_sets
 FROM (VALUES {_ladder(0.005)}) t(attempt, min_support) LEFT JOIN sets ON support >= min_support GROUP BY 1, 2""")
+add("a7_adaptive_support", counted(50), f"""
+SELECT a, b, n, least_support AS min_support FROM sets JOIN (
+  SELECT coalesce(min(min_support), 0.005) AS least_support FROM (VALUES {_ladder(0.005)}) t(attempt, min_support)
+  WHERE min_support <= (SELECT max(support) FROM sets)) ON support >= least_support""")
 _RULES = counted(50) + """,
 ok AS (SELECT * FROM sets WHERE support >= 0.001),
 ways AS (

@@ -692,6 +692,13 @@ def _(spark, d):
     return rules.support_ladder(_counts(spark, d), 0.005)
 
 
+@query("a7_adaptive_support")
+def _(spark, d):
+    counts = materialise(_counts(spark, d))
+    support = rules.adaptive_support(counts, 0.005)
+    return rules.frequent_sets(counts, support).select("a", "b", "n", F.lit(support).alias("min_support"))
+
+
 @query("a8_rules")
 def _(spark, d):
     found = rules.rules_from_counts(_counts(spark, d), 0.001, 0.05, 1.1)
