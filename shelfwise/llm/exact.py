@@ -36,6 +36,7 @@ def placed_copies(
     text: str = "text",
     doc_id: str = "doc_id",
     salts: int = 16,
+    ways: int = 64,
     keep: list[str] | None = None,
     digest: Callable[[Column], Column] = sha256,
     match_text: bool = False,
@@ -47,7 +48,9 @@ def placed_copies(
     salt, then among the salts' winners. A group that holds a third of all rows is so
     reduced to one row a task before any shuffle and to ``salts`` rows before the last.
     Rows find their group by digest; only if some digest stands for several texts, or with
-    ``match_text``, by digest and whole text.
+    ``match_text``, by digest and whole text. The way back is salted too: the rows of a group
+    lie in up to ``ways`` parts, each part gives its last row, the last of these stays, and
+    every part meets a copy of the group's row. No task holds more than a part of a group.
 
     Null text counts as empty; empty texts are a group like any other. The row with the
     largest id stays; a null id stays only if its group has no other. Of rows that repeat
@@ -59,7 +62,8 @@ def placed_copies(
     rows = tagged(wanted.withColumn(f"{OWN}digest", digest(own_text)))
     if digest is not sha256:
         rows = rows.withColumn(f"{OWN}sha", sha256(own_text))
-    stored = stage(rows if match_text else rows.drop(f"{OWN}text"), "exact-rows")
+    way = F.pmod(F.xxhash64(own_id, TAG), F.lit(ways)).cast("int").alias(f"{OWN}way")
+    stored = stage((rows if match_text else rows.drop(f"{OWN}text")).select("*", way), "exact-rows")
     salted = (
         rows.withColumn(f"{OWN}salt", F.pmod(F.xxhash64(own_id), F.lit(salts)))
         .groupBy(own_digest, own_text, f"{OWN}salt")
@@ -74,14 +78,14 @@ def placed_copies(
         release(stored)
         release(sizes)
         return placed_copies(
-            docs, text=text, doc_id=doc_id, salts=salts, keep=keep, digest=digest, match_text=True
+            docs, text=text, doc_id=doc_id, salts=salts, ways=ways, keep=keep, digest=digest, match_text=True
         )
-    placed = stored.join(sizes, by)
-    winners = (
-        placed.where(own_id.eqNullSafe(F.col(f"{OWN}keep_id"))).groupBy(*by).agg(F.max(TAG).alias(f"{OWN}kept_tag"))
-    )
+    last = F.max(F.struct(own_id.alias("id"), F.col(TAG).alias("tag"))).alias("last")
+    parts = stage(stored.groupBy(*by, f"{OWN}way").agg(last), "exact-parts")
+    winners = parts.groupBy(*by).agg(F.max("last").getField("tag").alias(f"{OWN}kept_tag"))
+    places = parts.drop("last").join(sizes.join(winners, by), by)
     sha = F.col(f"{OWN}digest" if digest is sha256 else f"{OWN}sha")
-    return placed.join(winners, by).select(
+    return stored.join(places, [*by, f"{OWN}way"]).select(
         *keep,
         f"{OWN}keep_id",
         f"{OWN}size",

@@ -329,6 +329,32 @@ def test_exact_awkward(awkward, empty):
     assert exact.exact_groups(empty).count() == 0 and exact.without_copies(awkward).columns == awkward.columns
 
 
+def test_exact_spreads_a_group_of_a_third_of_all_rows(spark):
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i // 4}") for i in range(6000)]
+    settings = {
+        "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = exact.exact_groups(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert len(found) == 6000
+    for r in found:
+        ids = groups[r["text"]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(ids), len(ids), r["doc_id"] == max(ids))
+    hot = Counter(r["task"] for r in found if r["text"] == "the same text")
+    assert len(hot) > 16 and max(hot.values()) < 2000 / 4
+
+
 def test_exact_with_a_digest_that_many_texts_share(awkward):
     plain = exact.exact_groups(awkward)
     weak = exact.exact_groups(awkward, digest=lambda t: F.length(t) % 3)
