@@ -74,13 +74,15 @@ class SubstringIndex:
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from ``code`` in at most ``radius`` bits.
 
-        Such a row differs in at most ``radius // m`` bits in one of the ``m`` substrings, so
-        the buckets that near to the query's value hold them all.
+        With ``radius = m * s + a`` such a row differs in at most ``s`` bits in one of the first
+        ``a + 1`` of the ``m`` substrings or in at most ``s - 1`` in one of the others: else it
+        would differ in more than ``radius`` bits. The buckets that near hold all such rows.
         """
         m = len(self.orders)
         seen = np.zeros(len(self.packed), bool)
         for j in range(m):
-            values = np.flatnonzero(_POP[np.arange(256) ^ int(code[j])] <= radius // m)
+            near = radius // m - (j > radius % m)
+            values = np.flatnonzero(_POP[np.arange(256) ^ int(code[j])] <= near)
             low, high = self.starts[j][values], self.starts[j][values + 1]
             size = high - low
             if size.sum():
@@ -125,7 +127,7 @@ def nearest(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     k: int = 10,
-    bits: int = 64,
+    bits: int = 128,
     recall: float = 0.97,
     max_sample: int = 4096,
     block_rows: int = 4096,
@@ -133,8 +135,8 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest rows found of each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
-    Codes and radius are learnt from at most about ``max_sample`` rows, chosen by hash; every
-    row is indexed. Rows are dealt by hash into blocks of about ``block_rows``, each of
+    Codes of ``bits`` bits (rotations of the same directions follow each other) and the radius
+    are learnt from at most about ``max_sample`` rows, chosen by hash; every row is indexed. Rows are dealt by hash into blocks of about ``block_rows``, each of
     which is indexed by substring where it lies; queries go to every block in groups of
     about ``query_rows``. A block answers with its ``k`` nearest of all codes within the
     radius, measured on the original vectors in double precision; a block that finds fewer
