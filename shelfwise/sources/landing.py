@@ -17,6 +17,8 @@ from shelfwise.session import work_dir
 
 #: Written last into a finished table's folder; Spark's readers skip names with an underscore.
 MANIFEST = "_manifest.json"
+#: Place of landed tables below the shared folder.
+ROOT = "shelfwise/landed"
 #: Versions of a landed table that stay, and the age in seconds below which any version stays.
 KEEP_VERSIONS, KEEP_SECONDS = 3, 7 * 86_400
 
@@ -115,7 +117,7 @@ def load(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 def landed_path(spark: SparkSession, name: str, inputs: list[str]) -> str:
     """Folder of a table's version: the same in every application that shares the folder, inputs and code."""
     version = hashlib.sha256(f"{fingerprint(spark, inputs)}|{code_version()}".encode()).hexdigest()[:16]
-    return f"{work_dir(spark)}/shelfwise/landed/{name}/{version}"
+    return f"{work_dir(spark)}/{ROOT}/{name}/{version}"
 
 
 def landed(
@@ -147,7 +149,7 @@ def prune(spark: SparkSession, name: str, keep: int = KEEP_VERSIONS, older_than:
 
     A version changed within ``older_than`` seconds stays, as other applications may still read it.
     """
-    root = f"{work_dir(spark)}/shelfwise/landed/{name}"
+    root = f"{work_dir(spark)}/{ROOT}/{name}"
     aged = sorted(folders(spark, root), key=lambda f: (-f[1], f[0]))[keep:]
     gone = [version for version, changed in aged if time.time() - changed / 1000 >= older_than]
     for version in gone:
