@@ -122,7 +122,7 @@ def _together(cells: DataFrame, shards: int, quota: int) -> tuple[DataFrame, boo
     return after, any_dealt
 
 
-def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, quota: int) -> DataFrame:
     """Moves linked documents towards the shard where most of their neighbours are.
 
     ``cells`` holds ``(link, shard, n)``: how many documents of a link lie in a shard, which
@@ -134,10 +134,14 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
     they change places, whole, with as many of the rows that ask. A shard that can't take all
     who ask is no choice for the rest of the round, and cells ask for their link's fullest
     shard among the others. At last links still apart go together where a shard has room for
-    all their rows. Every move but those of whole links is to a cell at least as full, so the
-    sum of the squares of ``n`` grows. Rounds end when no choice of any link is permitted.
+    all their rows.
+
+    Rounds end when no choice of any link is permitted, and they do end: in a step the cells
+    of a link move to one cell at least as full, so the sum of the squares of ``n`` grows with
+    every step that moves anything; links that give way stay whole and leave it as it is; and
+    it can't pass the squares of the links' sizes.
     """
-    for _ in range(rounds):
+    while True:
         moved, targets = False, set(range(shards))
         while targets:
             cells, more, full = _step(cells, shards, quota, sorted(targets))
@@ -147,8 +151,84 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
             targets -= full
         cells, more = _together(cells, shards, quota)
         if not (moved or more):
-            break
-    return cells
+            return cells
+
+
+def _shares(loads: list[int], total: int) -> list[int]:
+    """Rows of each shard, at most one apart: the fullest shards take one more."""
+    quota, more = divmod(total, len(loads))
+    share = [quota] * len(loads)
+    for s in sorted(range(len(loads)), key=lambda s: (-loads[s], s))[:more]:
+        share[s] += 1
+    return share
+
+
+def _neighbours(cells: DataFrame) -> int:
+    """Pairs of linked documents in one shard, each counted from both ends, and each document with itself."""
+    n = F.col("n").cast("decimal(19,0)")
+    return int(cells.agg(F.sum(n * n)).first()[0] or 0)
+
+
+def _best_places(links: list[tuple[bytes, int]], room: list[int]) -> list[tuple[bytes, int, int]]:
+    """Largest first: a link goes whole to the least room that holds it, or else fills the largest rooms."""
+    room, out = list(room), []
+    for link, n in sorted(links, key=lambda k: (-k[1], k[0])):
+        holds = [s for s in range(len(room)) if room[s] >= n]
+        order = [min(holds, key=lambda s: (room[s], s))] if holds else sorted(range(len(room)), key=lambda s: (-room[s], s))
+        for s in order:
+            part = min(n, room[s])
+            if part:
+                out.append((link, s, part))
+                room[s] -= part
+                n -= part
+    return out
+
+
+def laid_out(cells: DataFrame, shards: int, total: int) -> DataFrame:
+    """Lays links that propagation left apart end to end into the room beside the whole ones.
+
+    The largest links and the largest rooms come first. A border between two rooms cuts one
+    link at most; those few, fewer than shards, are placed again by best fit. Whole links that
+    a shard's share has no room for are laid with them. Where no shard is above its share, the
+    layout is taken only if it keeps more neighbours together. Shares afterwards hold all cells.
+    """
+    links = stage(_links(cells), "shard-links")
+    whole, apart = links.where("parts = 1").select("link", "shard", "n"), links.where("parts > 1").select("link", "n")
+    loads = _loads(whole, shards)
+    share = _shares(loads, total)
+    held = None
+    if any(n > q for n, q in zip(loads, share)):
+        held = running_total(whole, ["shard", F.desc("n"), "link"], ["n"], "shard-held")
+        bases = held.groupBy("shard").agg(F.min("before_n").alias("base"))
+        most = F.get(F.array(*[F.lit(n) for n in share]), F.col("shard"))
+        judged = held.join(bases, "shard").withColumn("fits", F.col("before_n") - F.col("base") + F.col("n") <= most)
+        whole, apart = judged.where("fits").select("link", "shard", "n"), apart.union(judged.where("not fits").select("link", "n"))
+        loads = _loads(whole, shards)
+    above = held is not None or any(n > q for n, q in zip(_loads(cells, shards), _shares(_loads(cells, shards), total)))
+    if apart.isEmpty():
+        release(links)
+        return cells
+    spans, end = [], 0
+    for room, s in sorted(((share[s] - loads[s], s) for s in range(shards)), key=lambda r: (-r[0], r[1])):
+        spans.append((s, end, end + room))
+        end += room
+    queued = running_total(apart, [F.desc("n"), "link"], ["n"], "shard-laid")
+    rooms = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for s, a, b in spans])
+    met = F.filter(rooms, lambda r: (r["high"] > F.col("before_n")) & (r["low"] < F.col("before_n") + F.col("n")))
+    queued_at = queued.select("link", "n", F.transform(met, lambda r: r["shard"]).alias("to"))
+    fitting = stage(whole.union(queued_at.where("size(to) = 1").select("link", F.col("to")[0].alias("shard"), "n")), "shard-fitting")
+    # Borders lie between two rooms, so at most ``shards - 1`` links are cut.
+    cut = [(bytes(r["link"]), r["n"]) for r in queued_at.where("size(to) > 1").collect()]
+    room = [q - n for q, n in zip(share, _loads(fitting, shards))]
+    laid = stage(fitting.union(cells.sparkSession.createDataFrame(_best_places(cut, room), cells.schema)), "shard-cells")
+    release(fitting)
+    for used in (links, held, queued):
+        release(used)
+    if not above and _neighbours(laid) <= _neighbours(cells):
+        release(laid)
+        return cells
+    release(cells)
+    return laid
 
 
 def even_shards(
@@ -157,16 +237,16 @@ def even_shards(
     text: str = "text",
     doc_id: str = "doc_id",
     shards: int = 8,
-    rounds: int = 10,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``keep``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` of every row.
 
     The law is ``rows``: counts of any two shards differ by at most one. Documents with equal
     text are linked. Every document starts in the shard of its hash; linked ones then move by
-    label propagation under a quota of a shard's share of all rows. Documents without a link
-    fill what is left, so they cost no cut edge. A link with more documents than a shard
-    may hold is spread over as few shards as the quotas allow.
+    label propagation under a quota of a shard's share of all rows, until no move is left that
+    the quotas permit; links that are still apart are then laid end to end where that keeps
+    more neighbours together. Documents without a link fill what is left, so they cost no cut
+    edge. A link with more documents than a shard may hold is spread over several.
 
     Null text counts as empty, its size is 1; empty texts are linked like others. Repeated
     rows are rows of their own. ``slot`` numbers a shard's rows by id without gaps.
@@ -189,22 +269,9 @@ def even_shards(
     sizes = counted.groupBy("link").agg(F.sum("n").alias("all"))
     cells = stage(counted.join(sizes.where("all > 1").select("link"), "link").select("link", "shard", "n"), "shard-cells")
     quota = total // shards
-    cells = propagate(cells, shards, quota, rounds)
-
-    # Shards that hold more linked rows than their share give up their smallest cells.
+    cells = laid_out(propagate(cells, shards, quota), shards, total)
     loads = _loads(cells, shards)
-    fullest = sorted(range(shards), key=lambda s: (-loads[s], s))
-    share = [quota] * shards
-    for s in fullest[: total % shards]:
-        share[s] += 1
-    most = F.array(*[F.lit(n) for n in share])
-    if any(n > q for n, q in zip(loads, share)):
-        held = running_total(cells, ["shard", F.desc("n"), "link"], ["n"], "shard-held")
-        bases = held.groupBy("shard").agg(F.min("before_n").alias("base"))
-        fits = F.get(most, F.col("shard")) - (F.col("before_n") - F.col("base"))
-        kept = held.join(bases, "shard").select("link", "shard", F.least("n", F.greatest(F.lit(0), fits)).cast("long").alias("n"))
-        cells = stage(kept.where("n > 0"), "shard-cells")
-        loads = _loads(cells, shards)
+    share = _shares(loads, total)
 
     # Rows of a link are equal in all their edges: its first rows by id go to its first cell, and so on.
     linked = cells.groupBy("link").agg(F.sum("n").alias("placed"))
