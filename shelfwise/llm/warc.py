@@ -21,6 +21,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_ID = "X-Row-Id"
 REFERS_ID = "X-Refers-To-Row-Id"
 
+# A text of Spark is no longer than this, nor are the headers beside the address; index entries that one merging task holds, about.
+MOST_BYTES, MOST_HEADERS, MERGED_ENTRIES = 1 << 31, 2048, 250_000
+
 ENTRY = (
     "url_key string, captured string, page_id long, url string, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long, file string, record_offset long, record_length long, run long"
@@ -43,6 +46,7 @@ def write_archives(
     captured: Column | None = None,
     least_revisit: int = 1000,
     records_per_file: int = 4000,
+    file_bytes: int = 1 << 28,
 ) -> None:
     """One record per row. Of equal payloads of at least ``least_revisit`` bytes that with the largest id is
     the response, the others revisit it and carry no payload.
@@ -50,7 +54,11 @@ def write_archives(
     Rows that repeat both id and payload of a response are responses too. A null id is
     never revisited while its payload has another; a null url leaves the header out; a null
     html is an empty payload. ``captured`` gives the moment of capture in seconds since 1970,
-    the row's id after 2024-01-01 where there is none.
+    the row's id after 2024-01-01 where there is none. Other columns are not read.
+
+    An archive holds at most ``records_per_file`` records and ``file_bytes`` bytes, or a
+    single record that is larger: records are written by size class, each class four times
+    the one before, so that its largest records fill no more than that.
     """
     payload = text_or_empty(html)
     number = F.col(page_id).cast("long")
@@ -92,7 +100,19 @@ def write_archives(
         F.lit(CRLF * 2),
         block,
     )
-    judged.select(record.alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+    edges = [max(1, file_bytes // records_per_file)]
+    while edges[-1] < MOST_BYTES:
+        edges.append(4 * edges[-1])
+    # No record is longer: escapes triple an address at most.
+    bound = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + MOST_HEADERS
+    number = F.lit(len(edges) - 1)
+    for i in range(len(edges) - 2, -1, -1):
+        number = F.when(bound <= edges[i], i).otherwise(number)
+    found = sorted(r["class"] for r in rows.select(number.alias("class")).distinct().collect())
+    for mode, i in zip(["error"] + ["append"] * len(edges), found or [0]):
+        wanted = judged.where(number == i) if len(found) > 1 else judged
+        most = max(1, min(records_per_file, file_bytes // edges[i]))
+        wanted.select(record.alias("value")).write.mode(mode).option("lineSep", RECORD_END).option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -224,10 +244,13 @@ def merged_index(entries: DataFrame) -> DataFrame:
     range of the whole order goes to each merging task, with the piece of every run that
     falls into it; the task merges its pieces with a loser tree. Ranges are cut by address
     key, moment, id and place, so a very common host or address spreads over many tasks.
+    There are as many ranges as the entries need at about ``MERGED_ENTRIES`` each, so that
+    what a task holds does not grow with the table.
     """
     order = ["url_key", "captured", "page_id", "file", "record_offset"]
     runs = stage(entries.sortWithinPartitions(*order), "warc-runs")
-    pieces = runs.repartitionByRange(shuffle_width(runs.sparkSession), *order).sortWithinPartitions("run", *order)
+    ranges = max(shuffle_width(runs.sparkSession), -(-runs.count() // MERGED_ENTRIES))
+    pieces = runs.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order)
     return pieces.mapInPandas(_merge(runs.columns), f"{ENTRY}, index_part long, index_row long")
 
 

@@ -224,6 +224,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.captures(spark, none, str(tmp_path / "e")).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    # Very long payloads beside short ones, and columns named like those of records, entries and the index.
+    rows = [(i, f"http://a.example/{i}", "é" * (30_000 if i % 7 == 0 else i), "x", 1, "y", 2, b"z") for i in range(60)]
+    rows.append((60, "http://a.example/60", "long " * 400_000, "x", 1, "y", 2, b"z"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, value string, id int, content string, index_part int, digest binary")
+    path = tmp_path / "cut"
+    found = {r["page_id"]: r for r in warc.captures(spark, pages, str(path), records_per_file=10, file_bytes=200_000).collect()}
+    assert {i: r["payload_bytes"] for i, r in found.items()} == {r[0]: len(r[2].encode()) for r in rows}
+    assert {i: r["record_type"] for i, r in found.items() if r["record_type"] == "revisit"} == {7 * i: "revisit" for i in range(8)}
+    assert all(found[i]["payload_digest"] == hashlib.sha1(r[2].encode()).hexdigest() for i, r in enumerate(rows))
+    sizes = Counter({f.name: f.stat().st_size for f in path.glob("*.txt")})
+    held = Counter(r["file"].rsplit("/", 1)[1] for r in found.values())
+    assert max(held.values()) <= 10 and all(n <= 200_000 or held[f] == 1 for f, n in sizes.items())
+
+
 def test_loser_tree():
     rng = np.random.default_rng(4)
     for k in range(9):
