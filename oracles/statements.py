@@ -238,17 +238,29 @@ near AS (
 # Vectors with their weights meet in cells of side eps on three axes; the others are compared.
 _CELLS = ", ".join(f"CAST(floor(x{i} / 0.15) AS BIGINT) AS k{i}" for i in (0, 1, 4))
 _MOVES = "(VALUES (-1), (0), (1)) d0(m0), (VALUES (-1), (0), (1)) d1(m1), (VALUES (-1), (0), (1)) d4(m4)"
-add("c6_outliers", _VECTORS + f""",
+_REACH = _VECTORS + f""",
 v AS (SELECT row_number() OVER () AS id, count(*) AS w, x0, x1, x2, x3, x4, x5, {_CELLS} FROM z GROUP BY ALL),
 near AS MATERIALIZED (
   SELECT a.id, b.id AS other, b.w FROM (SELECT v.*, k0 + m0 AS j0, k1 + m1 AS j1, k4 + m4 AS j4 FROM v, {_MOVES}) a
   JOIN v b ON b.k0 = a.j0 AND b.k1 = a.j1 AND b.k4 = a.j4
   WHERE abs(a.x2 - b.x2) <= 0.15 AND abs(a.x3 - b.x3) <= 0.15 AND abs(a.x5 - b.x5) <= 0.15 AND {_GAP} <= 0.15::DOUBLE * 0.15::DOUBLE),
 core AS (SELECT id FROM near GROUP BY id HAVING sum(w) >= 5),
-reached AS (SELECT DISTINCT near.id FROM near JOIN core ON near.other = core.id)""", """
+reached AS (SELECT DISTINCT near.id FROM near JOIN core ON near.other = core.id)"""
+add("c6_outliers", _REACH, """
 SELECT z.uid, CASE WHEN reached.id IS NULL THEN 1 ELSE 0 END AS is_anomalie
 FROM z JOIN v USING (x0, x1, x2, x3, x4, x5) LEFT JOIN reached ON reached.id = v.id""")
 
+# Every core vector takes the smallest number that reaches it, until none changes: one number a cluster.
+add("c7_outlier_counts", "RECURSIVE " + _REACH.strip() + """,
+links AS MATERIALIZED (SELECT near.id, near.other FROM near JOIN core a ON a.id = near.id JOIN core b ON b.id = near.other),
+least(id, root) USING KEY (id) AS (
+  SELECT id, id AS root FROM core
+  UNION
+  SELECT links.id, min(least.root) FROM least JOIN links ON links.other = least.id JOIN recurring.least AS known ON known.id = links.id
+  WHERE least.root < known.root GROUP BY links.id)""", """
+SELECT (SELECT count(DISTINCT root) FROM least) AS n_clusters,
+  (SELECT count(*) FROM z JOIN v USING (x0, x1, x2, x3, x4, x5) LEFT JOIN reached ON reached.id = v.id WHERE reached.id IS NULL) AS n_outliers""")
+
 # ---- label, evaluation
 
 add("l1_target", SCORED, "SELECT uid, top_produit FROM enriched")
