@@ -19,6 +19,7 @@ from shelfwise.operators.quantiles import quantiles
 from shelfwise.operators.ranking import first_per_key, rank_descending
 from shelfwise.schemas import PRODUCTS
 from shelfwise.sources import generators, payloads, tables
+from shelfwise.sources.landing import folders
 
 
 def one(spark, expression, **values):
@@ -185,6 +186,26 @@ def test_store_payload_fixture(spark, tmp_path):
     assert (rows[0]["categorie"], rows[0]["stock"], rows[0]["description"]) == ("Cuisine, Thé", 0, "Grès")
 
 
+def test_payload_files_do_not_grow_with_shops(spark, tmp_path):
+    """No folder a shop; the documents name the shops, a shop without a name is null."""
+    names = [f"Shop / {i}" for i in range(40)] + ["", None]
+    for source, payload in (("shopify", payloads.shop_payload), ("woocommerce", payloads.store_payload)):
+        rows = [
+            (s, str(i), f"u{i}", f"n{i}", None, "c", "m", "t", 1.0, 0.0, 4.0, 30, True, 5, 1, 1, "2025-01-01", source)
+            for i, s in enumerate(names)
+        ]
+        given = tmp_path / f"{source}.txt"
+        given.write_text("given")
+        path = payloads._landed_text(spark, f"few-{source}", [str(given)], lambda: payload(spark.createDataFrame(rows, PRODUCTS)))
+        assert folders(spark, path) == []
+        if source == "shopify":
+            back = collect.shop_products(payloads.read_shop_pages(spark, path))
+        else:
+            back = payloads.read_store_pages(spark, path)
+        got = {(r["shop_url"], r["id"]) for r in back.collect()}
+        assert got == {(s or None, i) for i, s in enumerate(names)}
+
+
 def test_normaliser(spark):
     rows = [
         ("Product A", "10.5", "shoes", "shopify", "001", "t", 0), ("Product B", "20", " Shoes ", "shopify", "002", "t", 1),
