@@ -5,6 +5,7 @@ import re
 import uuid
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from shelfwise.operators import classify, cluster, density, rules
@@ -53,6 +54,32 @@ def test_landed_is_built_once_per_version(spark, tmp_path):
     assert read().count() == 15 and len(built) == 3
 
 
+def test_landing_sorts_no_rows_and_widens_shuffles_with_the_input(spark, tmp_path, monkeypatch):
+    folder, seen = str(tmp_path / "in"), {}
+    spark.range(100).write.parquet(folder)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(n, None) for n in names]
+    whole = DataFrameWriter.parquet
+
+    def spied(writer, path, **options):
+        seen["written with"] = [int(spark.conf.get(n)) for n in names]
+        return whole(writer, path, **options)
+
+    def build():
+        seen["built with"] = int(spark.conf.get(names[0]))
+        # More kinds than files are held open.
+        return spark.read.parquet(folder).select((F.col("id") % 40).cast("string").alias("kind"), "id")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    size = sum(f.stat().st_size for f in (tmp_path / "in").iterdir())
+    monkeypatch.setattr(landing, "PARTITION_BYTES", size // 100)
+    made = landing.landed(spark, f"wide-{uuid.uuid4().hex}", [folder], build, ("kind",))
+    assert seen["built with"] >= 50 and seen["written with"][0] == seen["built with"]
+    assert seen["written with"][1] == landing.OPEN_FILES
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert sorted((r["id"], r["kind"]) for r in made.collect()) == [(i, str(i % 40)) for i in range(100)]
+
+
 def test_prune_keeps_the_newest_and_the_young(spark):
     name = f"old-{uuid.uuid4().hex}"
     root = f"{work_dir(spark)}/shelfwise/landed/{name}"
