@@ -9,6 +9,9 @@ from pyspark.sql.types import StructType
 from shelfwise.schemas import AUDIT
 from shelfwise.sources.landing import path_exists
 
+#: Rows of a CSV part file. Records over several lines can't be split, so a file is one task's reading.
+CSV_ROWS = 250_000
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Catalogue CSV: header, quotes doubled, records over several lines, mark at the start.
@@ -20,8 +23,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV part files with a header, readable by ``read_csv``."""
-    writer = df.write.mode("overwrite").option("header", True)
+    """CSV part files of bounded rows with a header, readable by ``read_csv``."""
+    writer = df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", CSV_ROWS)
     writer.option("escape", '"').option("quoteAll", True).csv(path)
 
 

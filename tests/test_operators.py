@@ -186,6 +186,17 @@ def test_store_payload_fixture(spark, tmp_path):
     assert (rows[0]["categorie"], rows[0]["stock"], rows[0]["description"]) == ("Cuisine, Thé", 0, "Grès")
 
 
+def test_csv_files_hold_bounded_rows(spark, tmp_path, monkeypatch):
+    """A file can't be split, so no file may grow with the table."""
+    monkeypatch.setattr(tables, "CSV_ROWS", 10)
+    rows = spark.range(95).coalesce(1).select("id", F.lit('a \n "b", c').alias("text"))
+    tables.write_csv(rows, str(tmp_path / "out"))
+    parts = list((tmp_path / "out").glob("*.csv"))
+    assert len(parts) == 10
+    back = tables.read_csv(spark, str(tmp_path / "out"), rows.schema)
+    assert sorted(map(tuple, back.collect())) == [(i, 'a \n "b", c') for i in range(95)]
+
+
 def test_payload_files_do_not_grow_with_shops(spark, tmp_path):
     """No folder a shop; the documents name the shops, a shop without a name is null."""
     names = [f"Shop / {i}" for i in range(40)] + ["", None]
