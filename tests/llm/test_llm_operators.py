@@ -643,3 +643,14 @@ def test_buckets_in_pieces_keep_all_company(monkeypatch):
             wanted[k].append(i)
         assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in wanted.items() if len(v) > 1}
         assert all(len(v) == 1 and v <= set(got[k]) for k, v in pivots.items())
+
+
+def test_repeats_hand_on_bounded_batches():
+    """A batch of anchors opens into many strings; a task never holds those of all of them."""
+    n, length, gram = 1000, 40, 8
+    columns = {"xid": range(n), "gram": [7] * n, "at": [32] * n, "windows": [33] * n, "weight": [1] * n}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()} | {
+        "bytes": pa.array([bytes(72)] * n), "alive": pa.nulls(n)})
+    made = list(repeats._node_rows(length, gram, 1, None)(iter([batch])))
+    assert sum(b.num_rows for b in made) == 33 * n
+    assert max(b.num_rows for b in made) <= 33 * repeats.IN_ROWS
