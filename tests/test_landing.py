@@ -155,3 +155,13 @@ def test_lookup_side_counts_rows_and_bytes(spark):
     assert small.select(row_bytes(small).alias("n")).agg(F.sum("n")).first()[0] >= 1500 + 2 * 32
     assert hinted(small) and not hinted(small, max_rows=1) and not hinted(small, max_bytes=1500)
     assert hinted(small.limit(0))
+
+
+def test_landed_files_are_small(spark, tmp_path):
+    """Landed tables are compressed by the codec that leaves fewer bytes than the session's own."""
+    df = spark.range(20_000).selectExpr("id", "concat('shop ', id % 97, ' of part ', id) AS nom", "id % 7 / 3.0D AS prix")
+    made = landing.store(df, str(tmp_path / "landed"))
+    df.write.parquet(str(tmp_path / "plain"), compression="snappy")
+    size = {k: sum(f.stat().st_size for f in (tmp_path / k).glob("*.parquet")) for k in ("landed", "plain")}
+    assert size["landed"] < 0.8 * size["plain"], size
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, df.collect()))
