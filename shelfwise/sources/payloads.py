@@ -1,20 +1,22 @@
 """Landed payloads: shop pages, store pages, cards; and a dirty text catalogue.
 
 The payloads are written by Spark from the whole catalogue, one page per line with the
-shop inside, so that files don't grow in number with the shops; the same readers take real
-captures, whose folders may name the shop instead.
+shop inside, so that files don't grow in number with the shops, and compressed; the same
+readers take real captures, plain or compressed, whose folders may name the shop instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import CARD, SHOP_PAGE, STORE_PRODUCT
-from shelfwise.sources.landing import landed_path, path_exists
+from shelfwise.sources.landing import landed_path, partitions, path_exists, settings
 from shelfwise.sources.offers import products
 
 PAGE_SPAN = 250
+#: Compression of landed payloads, and the most lines of a file, as one task reads a whole compressed file.
+CODEC, FILE_LINES = "gzip", 50_000
 
 
 def part_number() -> Column:
@@ -40,6 +42,15 @@ def shop_name() -> Column:
     return F.nullif("shop_url", F.lit("")).alias("shop_url")
 
 
+def _pages(catalogue: DataFrame, product: Column) -> DataFrame:
+    """Products of each shop in pages of at most 250.
+
+    The short catalogue rows are shuffled and sorted, the long products are made behind it.
+    """
+    rows = catalogue.withColumn("page", F.floor(part_number() / PAGE_SPAN)).repartition("shop_url", "page")
+    return rows.groupBy("shop_url", "page").agg(F.collect_list(product).alias("products"))
+
+
 def shop_payload(catalogue: DataFrame) -> DataFrame:
     """Shop pages of at most 250 products as JSON text, with the shop's name."""
     part = part_number()
@@ -76,11 +87,7 @@ def shop_payload(catalogue: DataFrame) -> DataFrame:
         F.col("date_creation").alias("created_at"),
         F.col("date_creation").alias("updated_at"),
     )
-    pages = (
-        catalogue.where(F.col("source") == "shopify")
-        .groupBy("shop_url", F.floor(part / PAGE_SPAN).alias("page"))
-        .agg(F.collect_list(product).alias("products"))
-    )
+    pages = _pages(catalogue.where(F.col("source") == "shopify"), product)
     return pages.select(F.to_json(F.struct("products", shop_name())).alias("value"))
 
 
@@ -115,11 +122,7 @@ def store_payload(catalogue: DataFrame) -> DataFrame:
         F.when(part % 6 != 0, F.array(F.struct(F.lit("promo").alias("name")))).alias("tags"),
         shop_name(),
     )
-    pages = (
-        catalogue.where(F.col("source") == "woocommerce")
-        .groupBy("shop_url", F.floor(part / PAGE_SPAN).alias("page"))
-        .agg(F.collect_list(product).alias("products"))
-    )
+    pages = _pages(catalogue.where(F.col("source") == "woocommerce"), product)
     return pages.select(F.to_json("products").alias("value"))
 
 
@@ -178,10 +181,19 @@ def dirty_catalogue(catalogue: DataFrame) -> DataFrame:
     return rows.unionByName(again)
 
 
+def _compressed(df: DataFrame) -> DataFrameWriter:
+    return df.write.mode("overwrite").option("compression", CODEC).option("maxRecordsPerFile", FILE_LINES)
+
+
 def _landed_text(spark: SparkSession, name: str, inputs: list[str], build) -> str:
+    """Folder of landed pages; a task's rows don't grow with the tables, and a page needs no more memory than its products."""
     path = landed_path(spark, name, inputs)
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").text(path)
+        pages = build()
+        sized = {"spark.sql.shuffle.partitions": partitions(spark, inputs)}
+        # Aggregates that collect lists sort anyway beyond a few groups; like this they sort once, before the lists are made.
+        with settings(spark, {**sized, "spark.sql.execution.useObjectHashAggregateExec": "false"}):
+            _compressed(pages).text(path)
     return path
 
 
@@ -204,5 +216,5 @@ def land_store_payload(spark: SparkSession, sf_dir: str) -> str:
 def land_cards(spark: SparkSession, sf_dir: str) -> str:
     path = landed_path(spark, "cards", _inputs(sf_dir))
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        card_payload(products(spark, sf_dir)).write.mode("overwrite").json(path)
+        _compressed(card_payload(products(spark, sf_dir))).json(path)
     return path

@@ -1,7 +1,10 @@
 """Edge rules on small hand-made tables."""
 
+import gzip
 import json
 import math
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -217,6 +220,31 @@ def test_payload_files_do_not_grow_with_shops(spark, tmp_path):
         assert got == {(s or None, i) for i, s in enumerate(names)}
 
 
+def test_payload_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    """Pages are written compressed, a file holds few lines, and what is shuffled are the short catalogue rows."""
+    monkeypatch.setattr(payloads, "FILE_LINES", 7)
+    rows = [
+        (f"Shop {i % 60}" if i % 60 else None, str(i % 3000), f"u{i}", f"n{i}", None, "c", "m", "t", 1.0, 0.0, 4.0, 30, True, 5, 1, 1, "2025-01-01", source)
+        for i in range(700) for source in ("shopify", "woocommerce")
+    ]
+    for source, payload in (("shopify", payloads.shop_payload), ("woocommerce", payloads.store_payload)):
+        given = tmp_path / f"{source}.txt"
+        given.write_text("given")
+        made = payload(spark.createDataFrame(rows + rows[:40], PRODUCTS))
+        path = payloads._landed_text(spark, f"packed-{source}", [str(given)], lambda: made)
+        files = list(Path(path).glob("part-*"))
+        assert all(f.name.endswith(".gz") and gzip.decompress(f.read_bytes()).count(b"\n") <= 7 for f in files)
+        if source == "shopify":
+            back = collect.shop_products(payloads.read_shop_pages(spark, path))
+        else:
+            back = payloads.read_store_pages(spark, path)
+        got = Counter((r["shop_url"], r["id"]) for r in back.collect())
+        assert got == Counter((r[0], int(r[1])) for r in rows + rows[:40] if r[-1] == source)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        shuffled = plan[plan.index("RepartitionByExpression") :]
+        assert "collect_list" in plan and "named_struct" not in shuffled and "collect_list" not in shuffled
+
+
 def test_normaliser(spark):
     rows = [
         ("Product A", "10.5", "shoes", "shopify", "001", "t", 0), ("Product B", "20", " Shoes ", "shopify", "002", "t", 1),
