@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.sizing import materialise
+from shelfwise.operators.sizing import materialise, sized
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -13,15 +13,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Labels move along the edges and then jump to their own label's label, so the
     rounds grow with the logarithm of a chain's length. Each round is a reliable
-    checkpoint.
+    checkpoint. Labels of a counted few cells go to the edges, which then stay where they are.
     """
     both = materialise(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     labels = materialise(nodes.select("cell", F.col("cell").alias("label")))
+    n = labels.count()
     while True:
         around = (
-            both.join(labels.select(F.col("cell").alias("b"), "label"), "b")
+            both.join(sized(labels.select(F.col("cell").alias("b"), "label"), n), "b")
             .groupBy(F.col("a").alias("cell"))
             .agg(F.min("label").alias("near"))
         )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.components import components
 from shelfwise.operators.places import numbered
 from shelfwise.operators.quantiles import scalars
-from shelfwise.operators.sizing import BROADCAST_ROWS, lookup_side, materialise, width
+from shelfwise.operators.sizing import lookup_side, materialise, sized, width
 
 # Neighbourhood radius and the rows that make a core, the row itself counted.
 EPS, MIN_ROWS = 0.15, 5
@@ -122,11 +122,6 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a cell table whose counted rows allow it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _neighbours(grid: Grid, cells: DataFrame, n_cells: int, axes: list[int]) -> DataFrame:
     """Pairs ``(a_cell < b_cell, sure)`` whose boxes come within eps; ``sure`` when wholly so.
 
@@ -158,7 +153,7 @@ def _neighbours(grid: Grid, cells: DataFrame, n_cells: int, axes: list[int]) ->
     near = near.repartition(width(cells))
     a = placed.select(F.col("big").alias("a_big"), F.col("cell").alias("a_cell"))
     b = placed.select(F.col("big").alias("b_big"), F.col("cell").alias("b_cell"))
-    pairs = near.join(_sized(a, n_cells), "a_big").join(_sized(b, n_cells), "b_big")
+    pairs = near.join(sized(a, n_cells), "a_big").join(sized(b, n_cells), "b_big")
     apart = F.lit(0)
     for i in range(grid.dims):
         steps = F.abs(grid.index(F.col("a_cell"), i) - grid.index(F.col("b_cell"), i)) - 1
@@ -172,7 +167,7 @@ def _judged(grid: Grid, pairs: DataFrame, boxes: DataFrame, n_boxes: int) -> Dat
     boxes = boxes.select("cell", *grid.box_columns())
     a = _prefixed(boxes, "a_")
     b = _prefixed(boxes, "b_")
-    both = pairs.join(_sized(a, n_boxes), "a_cell").join(_sized(b, n_boxes), "b_cell")
+    both = pairs.join(sized(a, n_boxes), "a_cell").join(sized(b, n_boxes), "b_cell")
     both = both.where(grid.nearest("a_", "b_") <= grid.limit)
     sure = grid.farthest("a_", "b_") <= grid.limit
     return both.select("a_cell", "b_cell", sure.alias("sure"))
@@ -204,7 +199,7 @@ def _count_within(
     """
     parts = []
     asked = asked.repartition(width(asked))
-    open_ = asked.join(_sized(_prefixed(boxes, "t_").withColumnRenamed("t_cell", "cell"), boxes.count()), "cell")
+    open_ = asked.join(sized(_prefixed(boxes, "t_").withColumnRenamed("t_cell", "cell"), boxes.count()), "cell")
     keys = ["id", "cell"]
     level = 0
     while True:
@@ -260,13 +255,14 @@ def _linked(
     size = nodes.select("cell", "n")
     a = size.select(F.col("cell").alias("a_cell"), F.col("n").alias("a_n"))
     b = size.select(F.col("cell").alias("b_cell"), F.col("n").alias("b_n"))
-    open_ = _across(pairs.where("NOT sure").select("a_cell", "b_cell"), labels)
-    open_ = open_.join(a, "a_cell").join(b, "b_cell").select(
+    n = nodes.count()
+    open_ = _across(pairs.where("NOT sure").select("a_cell", "b_cell"), labels, n)
+    open_ = open_.join(sized(a, n), "a_cell").join(sized(b, n), "b_cell").select(
         "a_cell", "b_cell", (F.col("a_n") * F.col("b_n")).alias("work")
     )
     level = 0
     while True:
-        open_ = materialise(_across(open_, labels))
+        open_ = materialise(_across(open_, labels, n))
         work = scalars(open_, w=F.sum("work"))["w"]
         if not work:
             return labels
@@ -292,24 +288,24 @@ def _linked(
             )
         )
         found = judged.where("yes").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
-        labels = _merge(labels, found)
+        labels = _merge(labels, found, n)
         if exact:
             return labels
         open_ = judged.where("NOT yes").select("a_cell", "b_cell", "work")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Pairs whose cells carry different labels."""
     la = labels.select(F.col("cell").alias("a_cell"), F.col("label").alias("la"))
     lb = labels.select(F.col("cell").alias("b_cell"), F.col("label").alias("lb"))
-    return pairs.join(la, "a_cell").join(lb, "b_cell").where("la <> lb").drop("la", "lb")
+    return pairs.join(sized(la, n), "a_cell").join(sized(lb, n), "b_cell").where("la <> lb").drop("la", "lb")
 
 
-def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """Join components linked by new edges: components of the labels themselves."""
     la = labels.select(F.col("cell").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("cell").alias("b"), F.col("label").alias("lb"))
-    between = edges.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    between = edges.join(sized(la, n), "a").join(sized(lb, n), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     groups = components(labels.select(F.col("label").alias("cell")).distinct(), between.distinct())
     renamed = groups.select(F.col("cell").alias("label"), F.col("label").alias("joined"))
     return materialise(labels.join(renamed, "label").select("cell", F.col("joined").alias("label")))
@@ -354,7 +350,7 @@ def dbscan(
 
     # A sparse cell is core as a whole when cells wholly within eps bring enough rows.
     weight = cells.select("cell", "n")
-    certain = _both_ways(pairs.where("sure")).join(_sized(weight, n_cells), "cell")
+    certain = _both_ways(pairs.where("sure")).join(sized(weight, n_cells), "cell")
     certain = certain.groupBy(F.col("a_cell").alias("cell")).agg(F.sum("n").alias("more"))
     weighed = sparse.select("cell", "n").join(certain, "cell", "left").select(
         "cell", (F.col("n") + F.coalesce("more", F.lit(0))).alias("sum")
@@ -366,7 +362,7 @@ def dbscan(
     unsure = loose.where(F.col("sum") < min_rows)
     points = _prefixed(grid.points(unsure), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
     doubtful = _both_ways(pairs.where("NOT sure").select("a_cell", "b_cell"))
-    asked = points.join(doubtful, "a_cell").select("id", "cell", *grid.box_columns("q_"))
+    asked = doubtful.join(lookup_side(points), "a_cell").select("id", "cell", *grid.box_columns("q_"))
     hits = _count_within(grid, asked, cells, rows, min_rows, open_limit)
     hits = hits.groupBy("id").agg(F.sum("hits").alias("h"))
     core = F.col("sum") + F.coalesce("h", F.lit(0)) >= min_rows
@@ -380,7 +376,7 @@ def dbscan(
     kept = _judged(grid, pairs.where("NOT sure").select("a_cell", "b_cell"), core_cells, n_core)
     firm = pairs.where("sure")
     for end in ("a_cell", "b_cell"):
-        firm = firm.join(_sized(core_cells.select(F.col("cell").alias(end)), n_core), end, "left_semi")
+        firm = firm.join(sized(core_cells.select(F.col("cell").alias(end)), n_core), end, "left_semi")
     linked = materialise(kept.unionByName(firm.select("a_cell", "b_cell", "sure")))
     labels = _linked(grid, linked, core_cells, core_rows, open_limit)
     numbers = numbered(labels.select("label").distinct(), ["label"], "number").withColumn("number", F.col("number").cast("int"))
@@ -390,7 +386,7 @@ def dbscan(
     rest = loose.where("NOT core").drop("core")
     edge = _prefixed(grid.points(rest), "q_").withColumnsRenamed({"q_id": "id", "q_cell": "a_cell"})
     reach = _both_ways(pairs.select("a_cell", "b_cell"))
-    touch = edge.join(reach, "a_cell").join(by_cell.select("cell"), "cell", "left_semi")
+    touch = reach.join(lookup_side(edge), "a_cell").join(sized(by_cell.select("cell"), n_core), "cell", "left_semi")
     touch = touch.select("id", "cell", *grid.box_columns("q_"))
     touched = _count_within(grid, touch, core_cells, core_rows, 1 << 62, open_limit)
     inside = rest.join(by_cell, "cell").select("id", "number")

@@ -45,6 +45,11 @@ def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     return F.broadcast(stored) if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes else stored
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table of short rows whose counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def width(df: DataFrame) -> int:
     """Partitions for a table that is worked on repeatedly or opens into many rows."""
     spark = df.sparkSession

@@ -14,7 +14,8 @@ from shelfwise.functions import features as fx
 from shelfwise.functions.prices import discount, parse_price, to_count, to_number, to_truth
 from shelfwise.functions.text import clean_name, fixed, html_to_text
 from shelfwise.functions.urls import brand_from_url, category_from_url
-from shelfwise.operators import cluster, collect, evaluate, normalise, rules, scoring, target
+from shelfwise.operators import cluster, collect, evaluate, normalise, rules, scoring, sizing, target
+from shelfwise.operators import components as component_steps
 from shelfwise.operators.components import components
 from shelfwise.operators.encode import label_encode
 from shelfwise.operators.features import impute_and_scale
@@ -22,7 +23,7 @@ from shelfwise.operators.quantiles import quantiles
 from shelfwise.operators.ranking import first_per_key, rank_descending
 from shelfwise.schemas import PRODUCTS
 from shelfwise.sources import generators, payloads, tables
-from shelfwise.sources.landing import folders
+from shelfwise.sources.landing import folders, settings
 
 
 def one(spark, expression, **values):
@@ -220,6 +221,28 @@ def test_payload_files_do_not_grow_with_shops(spark, tmp_path):
         assert got == {(s or None, i) for i, s in enumerate(names)}
 
 
+def test_labels_go_to_the_edges(spark, monkeypatch):
+    """The edges, of which there are many times the cells, are not shuffled again in each round."""
+    plans, write = [], component_steps.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(component_steps, "materialise", seen)
+    nodes = spark.createDataFrame([(i,) for i in range(30)], "cell long")
+    edges = spark.createDataFrame([(i, i + 3) for i in range(24)], "a long, b long")
+    expected = {(i, i if i > 26 else i % 3) for i in range(30)}
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        assert set(map(tuple, components(nodes, edges).collect())) == expected
+        assert any("BroadcastHashJoin" in p for p in plans)
+        # More cells than may be sent: by key.
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
+        plans.clear()
+        assert set(map(tuple, components(nodes, edges).collect())) == expected
+        assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_payload_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     """Pages are written compressed, a file holds few lines, and what is shuffled are the short catalogue rows."""
     monkeypatch.setattr(payloads, "FILE_LINES", 7)
