@@ -15,8 +15,9 @@ from shelfwise.sources.landing import landed_path, partitions, path_exists, sett
 from shelfwise.sources.offers import products
 
 PAGE_SPAN = 250
-#: Compression of landed payloads, and the most lines of a file, as one task reads a whole compressed file.
-CODEC, FILE_LINES = "gzip", 50_000
+#: Compression of landed payloads, and the most pages and cards of a file: one task reads a whole
+#: compressed file, and of small files only so many as their opening costs allow.
+CODEC, FILE_PAGES, FILE_CARDS = "gzip", 2_500, 25_000
 
 
 def part_number() -> Column:
@@ -181,8 +182,8 @@ def dirty_catalogue(catalogue: DataFrame) -> DataFrame:
     return rows.unionByName(again)
 
 
-def _compressed(df: DataFrame) -> DataFrameWriter:
-    return df.write.mode("overwrite").option("compression", CODEC).option("maxRecordsPerFile", FILE_LINES)
+def _compressed(df: DataFrame, lines: int) -> DataFrameWriter:
+    return df.write.mode("overwrite").option("compression", CODEC).option("maxRecordsPerFile", lines)
 
 
 def _landed_text(spark: SparkSession, name: str, inputs: list[str], build) -> str:
@@ -193,7 +194,7 @@ def _landed_text(spark: SparkSession, name: str, inputs: list[str], build) -> st
         sized = {"spark.sql.shuffle.partitions": partitions(spark, inputs)}
         # Aggregates that collect lists sort anyway beyond a few groups; like this they sort once, before the lists are made.
         with settings(spark, {**sized, "spark.sql.execution.useObjectHashAggregateExec": "false"}):
-            _compressed(pages).text(path)
+            _compressed(pages, FILE_PAGES).text(path)
     return path
 
 
@@ -216,5 +217,5 @@ def land_store_payload(spark: SparkSession, sf_dir: str) -> str:
 def land_cards(spark: SparkSession, sf_dir: str) -> str:
     path = landed_path(spark, "cards", _inputs(sf_dir))
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        _compressed(card_payload(products(spark, sf_dir))).json(path)
+        _compressed(card_payload(products(spark, sf_dir)), FILE_CARDS).json(path)
     return path

@@ -165,3 +165,20 @@ def test_landed_files_are_small(spark, tmp_path):
     size = {k: sum(f.stat().st_size for f in (tmp_path / k).glob("*.parquet")) for k in ("landed", "plain")}
     assert size["landed"] < 0.8 * size["plain"], size
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_reads_of_a_build_go_by_bytes(spark, tmp_path, monkeypatch):
+    """A task of a build reads so many bytes of its inputs, however large they are; reads outside are as before."""
+    monkeypatch.setattr(landing, "PARTITION_BYTES", 20_000)
+    key, given = "spark.sql.files.maxPartitionBytes", str(tmp_path / "given")
+    spark.range(40_000).select("id", F.md5(F.col("id").cast("string")).alias("text")).repartition(12).write.parquet(given)
+    before, seen = spark.conf.get(key), []
+
+    def build():
+        df = spark.read.parquet(given)
+        seen.append(df.rdd.getNumPartitions())
+        return df
+
+    assert landing.landed(spark, "by-bytes", [given], build).count() == 40_000
+    assert seen[0] > spark.read.parquet(given).rdd.getNumPartitions()
+    assert spark.conf.get(key) == before

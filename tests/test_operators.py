@@ -245,7 +245,7 @@ def test_labels_go_to_the_edges(spark, monkeypatch):
 
 def test_payload_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     """Pages are written compressed, a file holds few lines, and what is shuffled are the short catalogue rows."""
-    monkeypatch.setattr(payloads, "FILE_LINES", 7)
+    monkeypatch.setattr(payloads, "FILE_PAGES", 7)
     rows = [
         (f"Shop {i % 60}" if i % 60 else None, str(i % 3000), f"u{i}", f"n{i}", None, "c", "m", "t", 1.0, 0.0, 4.0, 30, True, 5, 1, 1, "2025-01-01", source)
         for i in range(700) for source in ("shopify", "woocommerce")
