@@ -114,3 +114,23 @@ def test_dbscan_on_many_copies_of_clumped_vectors(spark):
         assert found[i] == min((to_found[k] for k in label[touched[i]]), default=-1)
     for k in range(12000):
         assert got[f"u{len(x) + k}"] == found[k // 4000]
+
+
+def test_dbscan_keeps_no_copy_of_all_rows(spark, monkeypatch):
+    """What is written on the way grows with cells and doubtful rows, not with the rows of dense cells."""
+    rng = np.random.default_rng(3)
+    clumps = np.concatenate([c + rng.uniform(-0.01, 0.01, (600, 2)) for c in ([0.1, 0.1], [0.9, 0.2], [0.5, 0.8])])
+    x = np.concatenate([clumps, rng.uniform(2, 9, (20, 2))])
+    df = spark.createDataFrame([(f"u{i}", *map(float, p)) for i, p in enumerate(x)], "uid string, a double, b double")
+    sizes, written = [], density.materialise
+
+    def counted(table):
+        made = written(table)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(density, "materialise", counted)
+    got = {r["uid"]: r["cluster_dbscan"] for r in density.dbscan(df, ("a", "b")).collect()}
+    assert len(sizes) > 5 and max(sizes) < 300
+    assert [len({got[f"u{i}"] for i in range(at, at + 600)}) for at in (0, 600, 1200)] == [1, 1, 1]
+    assert {got[f"u{i}"] for i in range(1800)} == {0, 1, 2} and {got[f"u{i}"] for i in range(1800, 1820)} == {-1}
